@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vitrail.llm import bpe
+from vitrail.llm import bpe, dedup, shard
 from vitrail.llm.common import load
 
 
@@ -16,9 +16,21 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(load(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op2_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard.assign(load(spark, sf_dir, "documents"), 24)
+
+
+def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.decisions(load(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_minimax_shards": op2_minimax_shards,
+    "op8_exact_dedup": op8_exact_dedup,
 }
 
 #: DuckDB SQL of the queries that SQL can state; the others are tested against brute force in tests/llm.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_exact_dedup": dedup.ORACLE,
+}
