@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vitrail.llm import bpe, dedup, shard, simhash
+from vitrail.llm import bpe, dedup, gam, rules, shard, simhash
 from vitrail.llm.common import load
 
 
@@ -20,6 +20,10 @@ def op2_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard.assign(load(spark, sf_dir, "documents"), 24)
 
 
+def op5_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gam.classify(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(load(spark, sf_dir, "documents"))
 
@@ -28,11 +32,17 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.decisions(load(spark, sf_dir, "documents"))
 
 
+def op9_ngram_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels").where("quality = 1"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_minimax_shards": op2_minimax_shards,
+    "op5_quality_gam": op5_quality_gam,
     "op7_simhash": op7_simhash,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_ngram_ratio": op9_ngram_ratio,
 }
 
 #: DuckDB SQL of the queries that SQL can state; the others are tested against brute force in tests/llm.
