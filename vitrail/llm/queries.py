@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vitrail.llm import bpe, dedup, gam, rules, shard, simhash
+from vitrail.llm import bpe, dedup, gam, packing, rules, shard, simhash
 from vitrail.llm.common import load
 
 
@@ -36,6 +36,10 @@ def op9_ngram_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels").where("quality = 1"))
 
 
+def op10_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 4096, 1)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_minimax_shards": op2_minimax_shards,
@@ -43,6 +47,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_simhash": op7_simhash,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_ngram_ratio": op9_ngram_ratio,
+    "op10_pattern_packing": op10_pattern_packing,
 }
 
 #: DuckDB SQL of the queries that SQL can state; the others are tested against brute force in tests/llm.
