@@ -22,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitrail.llm.common import blank_null, fresh
+from vitrail.llm.common import blank_null
 
 BLANK_CHARS = " \t\n\x0b\x0c\r"
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -78,20 +78,21 @@ def _repeated_words(words: Column, window: int) -> Column:
     return F.when(F.size(words) > window, covered).otherwise(F.lit(0))
 
 
-def with_base(docs: DataFrame, words: str, text: str = "text", min_words: int = MIN_WORDS, max_repeat: int = MAX_REPEAT) -> DataFrame:
-    """Add n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (bigint) and base_failed, given the words' column."""
-    body, w = blank_null(text), F.col(words)
-    counted = docs.withColumns(
-        {
-            "n_words": F.size(w).cast("bigint"),
-            "word_chars": F.char_length(F.array_join(w, "")).cast("bigint"),
-            "n_symbols": (F.octet_length(body) - F.octet_length(F.regexp_replace(body, SYMBOLS, ""))).cast("bigint"),
-            "n_dup_lines": _duplicate_lines(body).cast("bigint"),
-            "n_repeat_words": _repeated_words(w, WINDOW).cast("bigint"),
-        }
-    )
-    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))
-    return counted.withColumn("base_failed", failed)
+def base_counts(words: Column, text: str | Column) -> dict[str, Column]:
+    """The base counts of a text, given its words: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (bigint)."""
+    body = blank_null(text)
+    counts = {
+        "n_words": F.size(words),
+        "word_chars": F.char_length(F.array_join(words, "")),
+        "n_symbols": F.octet_length(body) - F.octet_length(F.regexp_replace(body, SYMBOLS, "")),
+        "n_dup_lines": _duplicate_lines(body),
+        "n_repeat_words": _repeated_words(words, WINDOW),
+    }
+    return {k: v.cast("bigint") for k, v in counts.items()}
+
+
+def base_failed(n_words: Column, n_repeat_words: Column, min_words: int = MIN_WORDS, max_repeat: int = MAX_REPEAT) -> Column:
+    return (n_words < min_words) | (100 * n_repeat_words > max_repeat * n_words)
 
 
 def _bucket(*of: Column) -> Column:
@@ -120,32 +121,32 @@ def weights(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: s
     return [of(*table.get(b, (0, 0))) for b in range(BUCKETS)]
 
 
-def with_ratio(docs: DataFrame, table: list[int], words: str, out: str = "ratio") -> DataFrame:
-    """Add the mean log-likelihood ratio of the words' n-grams, in whole millionths summed and then divided."""
+def ratio(words: Column, table: list[int]) -> Column:
+    """The mean log-likelihood ratio of the words' n-grams, in millionths (summed whole, then divided)."""
     held = F.split(F.lit(",".join(map(str, table))), ",").cast("array<bigint>")  # folded into one literal
-    w = F.col(words)
 
     def of(word: Column, k: Column) -> Column:
-        following = F.get(w, k + 1)
+        following = F.get(words, k + 1)
         return F.get(held, _bucket(word)) + F.when(following.isNull(), F.lit(0)).otherwise(F.get(held, _bucket(word, following)))
 
-    total = F.aggregate(F.transform(w, of), F.lit(0).cast("bigint"), lambda a, x: a + x)
-    return docs.withColumn(out, total / F.greatest(2 * F.size(w) - 1, F.lit(1)))
+    total = F.aggregate(F.transform(words, of), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return total / F.greatest(2 * F.size(words) - 1, F.lit(1))
 
 
 def judge(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
-    """One row per document: doc_id, the base counts, base_failed, ratio (mean log-likelihood ratio) and kept."""
+    """One row per document: doc_id, the base counts, base_failed, kept and ratio (mean log-likelihood ratio)."""
     table = weights(docs, trusted, doc_id, text)
-    own = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"), words_of(text).alias("words"))
-    scored = with_ratio(with_base(own, "words"), table, "words")
-    kept = ~F.col("base_failed") & (F.col("ratio") >= threshold)
-    return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), (F.col("ratio") / 1e6).alias("ratio"))
+    own = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    # all of a row's figures come from one binding of its words, which no plan can tear apart
+    found = let(words_of("text"), lambda w: F.struct(*(v.alias(k) for k, v in base_counts(w, "text").items()), ratio(w, table).alias("ratio")))
+    told = own.withColumn("found", found).select("doc_id", "found.*")
+    failed = base_failed(F.col("n_words"), F.col("n_repeat_words"))
+    kept = ~failed & (F.col("ratio") >= threshold)
+    return told.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), kept.alias("kept"), (F.col("ratio") / 1e6).alias("ratio"))
 
 
 def keep_clean(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """The documents that pass the base rules and the ratio, in their own columns; nothing is shuffled."""
     table = weights(docs, trusted, doc_id, text)
-    words, ratio = fresh(docs, "words", "ratio")
-    w, body = F.col(words), docs.withColumn(words, words_of(text))
-    failed = (F.size(w) < MIN_WORDS) | (100 * _repeated_words(w, WINDOW) > MAX_REPEAT * F.size(w))
-    return with_ratio(body.where(~failed), table, words, ratio).where(F.col(ratio) >= threshold).select(docs.columns)
+    passed = let(words_of(text), lambda w: ~base_failed(F.size(w), _repeated_words(w, WINDOW)) & (ratio(w, table) >= threshold))
+    return docs.where(passed)
