@@ -1 +1 @@
-
+"""Column expressions: geometry, colour, text and typed missingness."""

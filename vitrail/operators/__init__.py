@@ -1 +1 @@
-
+"""DataFrame operators over captures: trees, boxes, words, pictures, catalogue and scores."""

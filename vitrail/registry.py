@@ -1,4 +1,4 @@
-"""Every query of the library outside the subpackage llm, by name."""
+"""Every query of the library outside the subpackage llm, by name, with its DuckDB SQL where SQL can state it."""
 
 from __future__ import annotations
 
@@ -6,5 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from vitrail.queries import boxes, trees
+
+_FAMILIES = (trees, boxes)
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for f in _FAMILIES for k, v in f.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {k: v for f in _FAMILIES for k, v in f.ORACLE_SQL.items()}
