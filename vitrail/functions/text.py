@@ -9,6 +9,7 @@ import hashlib
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Characters stripped from recognised text before it is compared.
 STRIPPED = " ‘'|:;,."
@@ -20,7 +21,7 @@ def normalize(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(flat), r"\s+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normalize_exact(text: pd.Series) -> pd.Series:
     """As `normalize` with full case folding (ß as ss)."""
     return text.map(lambda t: None if t is None else " ".join(t.replace("&", "").replace("…", "...").casefold().split()))
@@ -36,7 +37,7 @@ def without_punctuation(text: Column) -> Column:
     return F.lower(F.regexp_replace(text, r"(?U)[^\w\s]", ""))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff and Obershelp's ratio of two texts, 0 to 1; null if either is null."""
     return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")

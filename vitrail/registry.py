@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vitrail.queries import boxes, trees
+from vitrail.queries import boxes, pictures, trees, words
 
-_FAMILIES = (trees, boxes)
+_FAMILIES = (trees, boxes, words, pictures)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for f in _FAMILIES for k, v in f.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: v for f in _FAMILIES for k, v in f.ORACLE_SQL.items()}
