@@ -24,15 +24,21 @@ def local_session(cpus: int | str = 8, app: str = "vitrail", shuffle_partitions:
     )
 
 
+#: Folders made for sessions without one, by application.
+_OWN: dict[str, str] = {}
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Only where that is unset (tests, one machine) a temporary folder is made and set.
+    Only where that is unset (tests, one machine) a temporary folder is made.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="vitrail-shared-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        app = spark.sparkContext.applicationId
+        if app not in _OWN:
+            _OWN[app] = tempfile.mkdtemp(prefix="vitrail-shared-")
+        root = _OWN[app]
     return root.rstrip("/")
 
 
