@@ -1,7 +1,7 @@
 """Sharding by a minimax contiguous partition of ordered atomic groups.
 
-Rows with equal texts form a group that no cut divides. Groups are ordered by the digest of their text: an order that
-is the same on every run, needs no sampling, and spreads the corpus over the shards. The smallest feasible capacity of a
+Rows with equal texts form a group that no cut divides. Groups are ordered by the digest of their text, those that fill a
+shard alone before the others: an order that is the same on every run, needs no sampling, and spreads the corpus over the shards. The smallest feasible capacity of a
 shard is found by binary search, each candidate checked greedily, and the cuts are then made under that capacity.
 
 The search runs on the driver over a bounded summary: total sizes of blocks of digests. A block hides where
@@ -77,16 +77,16 @@ class Blocks:
 
     def cuts(self, shards: int, capacity: int) -> list[str]:
         """The digest at which each shard but the first begins: shards near a fair share, none above the capacity."""
-        at, k, out, end = 0, 0, [], self.ends[-1]
+        k, out = 0, []
         for left in range(shards, 1, -1):
-            last = bisect_right(self.ends, at + capacity) - 1
-            fair = at + (end - at) / left
+            last = bisect_right(self.ends, self.ends[k] + capacity) - 1
+            fair = self.ends[k] + (self.ends[-1] - self.ends[k]) / left
             near = max(k, min(last, bisect_right(self.ends, fair) - 1))
             if near < last and (near == k or self.ends[near + 1] - fair < fair - self.ends[near]):
                 near += 1
             if near < last and self._steps(near, capacity) > left - 1:
                 near = last
-            at, k = self.ends[near], near
+            k = near
             out.append(self.rows[k][0] if k < len(self.rows) else "g")  # behind every digest
         return out
 
@@ -94,8 +94,7 @@ class Blocks:
         """Shards that the groups from block k on need."""
         n = 0
         while k < len(self.rows):
-            k = bisect_right(self.ends, self.ends[k] + capacity) - 1
-            n += 1
+            k, n = bisect_right(self.ends, self.ends[k] + capacity) - 1, n + 1
         return n
 
 
@@ -104,26 +103,40 @@ def _blocks(rows: DataFrame, digits: int) -> list[tuple[str, str, int, int]]:
     return [(r.a, r.b, r.n, digits) for r in got]
 
 
-def minimax(rows: DataFrame, shards: int) -> tuple[int, list[str]]:
-    """The smallest capacity and the digests at which the shards behind the first begin.
+def minimax(rows: DataFrame, shards: int) -> tuple[int, list[str], list[str]]:
+    """The smallest capacity, the digests of groups that fill a shard alone, and the digests at which the other shards begin.
+
+    A group as large as a fair share of what is left stands alone, at the head of the order; no partition does better. The
+    other groups are cut, in their order, under the smallest capacity of their own.
 
     rows: digest (hexadecimal text), size (positive); read several times, so materialised.
     """
-    largest = rows.groupBy("digest").agg(F.sum("size").alias("n")).agg(F.max("n")).first()[0]
-    if largest is None:
-        return 0, ["g"] * (shards - 1)
+    total = rows.agg(F.sum("size")).first()[0]
+    if total is None:
+        return 0, [], ["g"] * (shards - 1)
+    heads = rows.groupBy("digest").agg(F.sum("size").alias("n")).orderBy(F.desc("n"), "digest").limit(shards + 1).collect()
+    alone: list[str] = []
+    for r in heads[: shards - 1]:
+        if r.n * (shards - len(alone)) < total:
+            break
+        alone.append(r.digest)
+        total -= r.n
+    left = shards - len(alone)
+    if len(heads) == len(alone):
+        return heads[0].n, alone, ["g"] * (left - 1)
+    rows = rows.where(~F.col("digest").isin(alone)) if alone else rows
     blocks = Blocks(_blocks(rows, DIGITS))
-    least = max(largest, -(-blocks.ends[-1] // shards))
+    least = max(heads[len(alone)].n, -(-total // left))
     while True:
-        low, high = blocks.smallest(shards, least, True), blocks.smallest(shards, least, False)
-        unclear = blocks.doubtful(shards, low, high) if low < high else set()
+        low, high = blocks.smallest(left, least, True), blocks.smallest(left, least, False)
+        unclear = blocks.doubtful(left, low, high) if low < high else set()
         if not unclear:
-            return high, blocks.cuts(shards, high)
-        rest = [r for k, r in enumerate(blocks.rows) if k not in unclear]
+            return max(high, heads[0].n), alone, blocks.cuts(left, high)
+        parts = [r for k, r in enumerate(blocks.rows) if k not in unclear]
         for digits in {blocks.rows[k][3] for k in unclear}:
             names = sorted({blocks.rows[k][0][:digits] for k in unclear if blocks.rows[k][3] == digits})
-            rest += _blocks(rows.where(F.substring("digest", 1, digits).isin(names)), digits + DIGITS)
-        blocks = Blocks(rest)
+            parts += _blocks(rows.where(F.substring("digest", 1, digits).isin(names)), digits + DIGITS)
+        blocks = Blocks(parts)
 
 
 def slots(rows: DataFrame, shard: str, spread: Column, order: list[Column], out: str = "slot", parts: int = SLOT_PARTS) -> DataFrame:
@@ -153,7 +166,9 @@ def assign(docs: DataFrame, shards: int = 24, doc_id: str = "doc_id", text: str
         ),
         "shard-rows",
     )
-    _, cuts = minimax(rows, shards)
-    shard = sum((F.col("digest") >= cut).cast("int") for cut in cuts) if cuts else F.lit(0)
+    _, alone, cuts = minimax(rows, shards)
+    shard = sum(((F.col("digest") >= cut).cast("int") for cut in cuts), F.lit(len(alone)))
+    for k, digest in enumerate(alone):
+        shard = F.when(F.col("digest") == digest, k).otherwise(shard)
     placed = slots(rows.withColumn("shard", shard), "shard", F.xxhash64("doc_id", "digest"), [F.col("doc_id"), F.col("digest")])
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
