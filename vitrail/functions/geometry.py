@@ -165,3 +165,13 @@ def luminance(colour: Column) -> Column:
 def contrast_ratio(a: Column, b: Column) -> Column:
     low, high = F.least(luminance(a), luminance(b)), F.greatest(luminance(a), luminance(b))
     return (high + 0.05) / (low + 0.05)
+
+
+def readable(front: Column, back: Column, least: float = 4.4) -> Column:
+    """The colour to draw in: `front` if it stands out enough, else a fixed dark or light one (grey or white where little contrast is asked for)."""
+    light = luminance(back)
+    if least <= 3:
+        other = F.when(light >= 0.45, "#666666").otherwise("#ffffff")
+    else:
+        other = F.when((light + 0.05) / 0.05 >= 1.05 / (light + 0.05), "#171717").otherwise("#ffffff")
+    return F.when(contrast_ratio(front, back) >= least, front).otherwise(other)
