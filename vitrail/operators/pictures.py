@@ -57,7 +57,7 @@ def percentiles(pixels: DataFrame, by: list[str], value: str = "v") -> DataFrame
     v = F.col(value)
     return pixels.groupBy(*by).agg(
         F.percentile(v, 0.5).alias("p50"), F.percentile(v, 0.88).alias("p88"), F.percentile(v, 0.95).alias("p95"),
-        F.round(F.mean(v), 9).alias("mean"), F.round(F.stddev_pop(v), 9).alias("std"), (F.max(v) - F.min(v)).alias("ptp"),
+        F.mean(v).alias("mean"), F.stddev_pop(v).alias("std"), (F.max(v) - F.min(v)).alias("ptp"),
     )
 
 

@@ -25,7 +25,7 @@ def ink(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = pictures.percentiles(inputs.pixels(spark, sf_dir), ["id"])
-    return made.select("id", *(F.round(c, 6).alias(c) for c in ("p50", "p88", "p95", "mean", "std")), "ptp")
+    return made.select("id", *(F.round(c, 4).alias(c) for c in ("p50", "p88", "p95", "mean", "std")), "ptp")
 
 
 def fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,7 +152,7 @@ SELECT id, CASE WHEN n >= 3 THEN v::DOUBLE ELSE m END AS background FROM c JOIN
     "tile_ink": f"""{_T}, e AS (SELECT id, median(v) AS edge FROM pixels WHERE {_EDGE} GROUP BY id), m AS (SELECT id, median(v) AS mid FROM pixels GROUP BY id), j AS (SELECT * FROM pixels JOIN e USING (id) JOIN m USING (id))
 SELECT id, arg_max(v, (abs(v - edge), -py, -px)) AS ink, min(px) FILTER (abs(v - mid) > 45) AS x, min(py) FILTER (abs(v - mid) > 45) AS y,
   max(px) FILTER (abs(v - mid) > 45) - min(px) FILTER (abs(v - mid) > 45) + 1 AS w, max(py) FILTER (abs(v - mid) > 45) - min(py) FILTER (abs(v - mid) > 45) + 1 AS h FROM j GROUP BY id""",
-    "tile_percentiles": f"{_T} SELECT id, round(quantile_cont(v, 0.5), 6) AS p50, round(quantile_cont(v, 0.88), 6) AS p88, round(quantile_cont(v, 0.95), 6) AS p95, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, max(v) - min(v) AS ptp FROM pixels GROUP BY id",
+    "tile_percentiles": f"{_T} SELECT id, round(quantile_cont(v, 0.5), 4) AS p50, round(quantile_cont(v, 0.88), 4) AS p88, round(quantile_cont(v, 0.95), 4) AS p95, round(avg(v), 4) AS mean, round(stddev_pop(v), 4) AS std, max(v) - min(v) AS ptp FROM pixels GROUP BY id",
     "tile_fingerprint": f"{_T} SELECT id, round_even(sum(v) / 64.0, 0)::INTEGER AS mean FROM pixels GROUP BY id",
     "tile_hash": f"{_T}, {_GREY} SELECT id, sha256(bg || '|8|8|' || array_to_string(grey, ',')) AS hash FROM greys",
     "icon_block_candidates": f"""{_T}, i AS (SELECT id, bg, 16 + id % 24 AS w, 16 + id % 7 AS h, round_even(sum(v) / 64.0, 0) AS mean FROM pixels GROUP BY id, bg)
