@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +27,24 @@ def local_session(cpus: int | str = 8, app: str = "vitrail", shuffle_partitions:
     )
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the Python workers, unless they find it by PYTHONPATH or the working folder."""
+    app, package = spark.sparkContext.applicationId, Path(__file__).resolve().parent
+    if app in _SHIPPED:
+        return
+    _SHIPPED.add(app)
+    if any(Path(p or ".").resolve() == package.parent for p in [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]):
+        return
+    target = Path(tempfile.mkdtemp(prefix="vitrail-package-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    spark.sparkContext.addPyFile(str(target))
+
+
 #: Folders made for sessions without one, by application.
 _OWN: dict[str, str] = {}
 
