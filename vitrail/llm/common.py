@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrail.session import materialize
+from vitrail.session import materialize, ship
 
 __all__ = ["ARROW_ROWS", "attach_groups", "blank_null", "fresh", "load", "materialize", "short_batches"]
 
@@ -17,6 +17,7 @@ HOT_SHARE = 1_000
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -40,6 +41,7 @@ def blank_null(text: str | Column) -> Column:
 
 def short_batches(spark: SparkSession) -> None:
     """Keep Arrow batches of whole texts short, so that Python's memory doesn't follow the text length."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > ARROW_ROWS:
         spark.conf.set(key, str(ARROW_ROWS))
