@@ -11,7 +11,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vitrail.llm import dedup, gam, packing, rules, simhash
+from vitrail.llm import dedup, gam, overlap, packing, rules
 from vitrail.llm.common import load, materialize
 
 #: Of the run's rows no stage with a learnt model, XXH64 or a tokenizer can be stated in SQL.
@@ -34,8 +34,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies."""
-    return simhash.drop_near_copies(docs)
+    """One document of each component of near copies: five-word shingles, Jaccard 0.8 or more."""
+    return overlap.drop_near_copies(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from vitrail.llm import bpe, dedup, gam, license, packing, rules, shard, simhash, tokens, warc
+from vitrail.llm import bpe, dedup, gam, license, overlap, packing, rules, shard, simhash, tokens, warc
 
 MULTI = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -303,6 +303,49 @@ def test_simhash_components(docs, none):
     assert {r.doc_id for r in kept.collect()} == {rows[k][0] for k in set(roots)}
 
 
+def five_words(text):
+    words = WORD.findall((text or "").translate({c: c + 32 for c in range(65, 91)}))
+    return {" ".join(words[k : k + 5]) for k in range(len(words) - 4)} or {" ".join(words)}
+
+
+@pytest.mark.parametrize("run", [6, 2048])
+def test_pipeline_near_copies_against_brute_force(spark, none, run):
+    import corpus_pipeline
+
+    rnd = random.Random(11)
+    word = lambda: f"w{rnd.randrange(5000)}"
+    rows = [*corpus()]
+    for k in range(12):
+        base = [word() for _ in range(rnd.randint(40, 160))]
+        rows.append((1000 + 20 * k, " ".join(base), "xx", "s", 1))
+        for e in range(1, 12):  # one to eleven words changed: Jaccard around 0.8, far more than three bits apart
+            now = list(base)
+            for at in rnd.sample(range(len(now)), min(e, len(now) // 8)):
+                now[at] = word()
+            rows.append((1000 + 20 * k + e, " ".join(now), "xx", "s", 1))
+    rows.sort(key=lambda r: (r[0] is None, r[0] or 0))
+    sets = [five_words(r[1]) for r in rows]
+    up = list(range(len(rows)))
+
+    def root(k):
+        while up[k] != k:
+            k = up[k]
+        return k
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = root(a), root(b)
+                up[max(x, y)] = min(x, y)
+    want = sorted(str(rows[k][0]) for k in {root(k) for k in range(len(rows))})
+    given = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    assert sorted(str(r.doc_id) for r in overlap.drop_near_copies(given, run=run).collect()) == want
+    if run == 2048:
+        kept = corpus_pipeline.near_dedup(spark, given, "")
+        assert kept.columns == given.columns and sorted(str(r.doc_id) for r in kept.collect()) == want
+        assert overlap.drop_near_copies(none).count() == 0
+
+
 @pytest.mark.parametrize("run", [4, 16, 2048])
 def test_links_of_dense_and_chained_fingerprints(spark, run):
     rnd = random.Random(run)
