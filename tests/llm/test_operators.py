@@ -165,6 +165,20 @@ def test_license_scan(spark, none):
     assert license.report(none).count() == 0
 
 
+def test_license_scan_of_wrapped_texts(spark):
+    import textwrap
+
+    wrap = lambda name, width=72, start="": textwrap.fill(license.SENTENCES[name], width, initial_indent=start, subsequent_indent=start, break_on_hyphens=False)
+    mit = "Copyright (c) 2020 Some One\n\n" + wrap("mit-grant", 78) + "\n\n" + wrap("mit-notice", 78) + ".\n"
+    apache = '# Copyright 2020 Some One\n# Licensed under the Apache License, Version 2.0 (the "License");\n# you may not use this file except in compliance with the License.\n# You may obtain a copy of the License at\n#\n#     http://www.apache.org/licenses/LICENSE-2.0\n#\n# Unless required\n'
+    gpl = wrap("gpl3-or-later") + ".\n\n" + wrap("gpl-no-warranty") + ".  See the\nGNU General Public License for more details.\n"
+    bsd = "Copyright (c) 2020, Some One\nAll rights reserved.\n\n" + wrap("bsd-grant", 60, " * ") + "\n1. Keep it."
+    cut = wrap("mit-grant").replace("\n", "\n\n", 1)
+    rows = [(1, mit), (2, apache), (3, gpl), (4, bsd), (5, mit.replace("\n", "\r\n")), (6, cut), (7, wrap("mit-grant") + " words")]
+    got = {r.doc_id: r.licenses for r in license.report(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {1: "MIT", 2: "Apache-2.0", 3: "GPL-3.0-or-later", 4: "BSD", 5: "MIT", 6: "", 7: ""}
+
+
 @pytest.mark.parametrize("rule", tokens.RULES)
 def test_token_counts(docs, none, rule):
     plain = Tokenizer.from_file(BYTES)

@@ -1,7 +1,8 @@
 """License scans by sentence rules.
 
-A text is cut into sentences (at line ends, and behind full stops, exclamation and question marks before a blank), each is
-normalised (lower case, runs of other characters than a-z and 0-9 as one blank), and known licence sentences become identifiers. The
+A text is normalised (lower case, runs of other characters than a-z and 0-9 as one blank) and cut at blank lines and behind full
+stops, exclamation and question marks before a blank. Whole lines, or lines that follow one another without a cut, that make
+up a known licence sentence become its identifier (the longest sentence first; an address may stand in a paragraph of its own). The
 identifiers of a text, in order, are matched against the licence rules in their order: a rule finds its identifiers one
 after another (sentences that aren't known may lie between) and uses them up, so a full licence text is taken before
 the short references in it.
@@ -77,11 +78,19 @@ def normal(sentence: str) -> str:
 KNOWN = {normal(text): name for name, text in SENTENCES.items()}
 
 
+def wrapped(known: dict[str, str]) -> str:
+    """A pattern of known sentences, from a line's begin to a line's end, that may be wrapped between any two words."""
+    own = (s.replace(" ", "[ \n]").replace("[ \n]http[ \n]", "(?: |\n\n?)http[ \n]") for s in sorted(known, key=len, reverse=True))
+    return rf"(?<![^\n])({'|'.join(own)})(?![^\n])"
+
+
 def scan(docs: DataFrame, text: str = "text", ids: str = "sentence_ids", licenses: str = "licenses", rules: tuple = RULES, known: dict[str, str] = KNOWN) -> DataFrame:
     """Add the identifiers of a text's licence sentences in order, and its licences in the order of the rules (arrays)."""
     lines, left, found = fresh(docs, "lines", "left", "found")
-    flat = F.regexp_replace(F.lower(F.regexp_replace(blank_null(text), STOPS, "\n")), OTHER, " ")
-    hits = F.filter(F.transform(F.split(flat, "\n"), lambda x: F.btrim(x)), lambda x: x.isin([*known]))
+    # a line end as \n, a cut as two or more
+    flat = F.regexp_replace(F.lower(F.regexp_replace(blank_null(text), STOPS, "\n\n")), OTHER, " ")
+    flat = F.btrim(F.regexp_replace(flat, " ?\n ?", "\n"))
+    hits = F.transform(F.regexp_extract_all(flat, F.lit(wrapped(known)), F.lit(1)), lambda x: F.regexp_replace(x, r"\n+", " "))
     named = F.create_map(*(F.lit(x) for pair in known.items() for x in pair))
     out = docs.withColumn(lines, hits).withColumn(ids, F.transform(lines, lambda x: F.element_at(named, x)))
     # identifiers stand between bars: |a||b||c|; a rule's are cut out, leaving what no later rule may run across
