@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrail.sources import png
+from vitrail.sources import png, snapshots
+from vitrail.sources.snapshots import OWN, Container
 
 CAPTURES = "capture string, path string, width int, height int, snapshot string, status string, error string"
 NODES = (
@@ -28,8 +29,8 @@ def binary_files(spark: SparkSession, path: str, glob: str = "*.png") -> DataFra
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "content")
 
 
-def read(files: DataFrame) -> DataFrame:
-    """Files (path, content) to captures; status is ok, missing or error, never an exception."""
+def read(files: DataFrame, of: Container = OWN) -> DataFrame:
+    """Files (path, content) to captures; status is ok, missing or error, never an exception. of: the container's format."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -38,11 +39,11 @@ def read(files: DataFrame) -> DataFrame:
                 w = h = said = error = None
                 try:
                     w, h = png.size_of(content)
-                    snapshot = png.read_snapshot(content)
+                    snapshot = snapshots.read(content, of)
                     if snapshot["image"]["size"] != [w, h]:
                         raise ValueError("the picture's size is not the snapshot's")
                     said, status = json.dumps(snapshot, ensure_ascii=False, separators=(",", ":")), "ok"
-                except png.Missing:
+                except snapshots.Missing:
                     status = "missing"
                 except (ValueError, KeyError, TypeError) as e:
                     status, error = "error", str(e)
@@ -55,7 +56,7 @@ def read(files: DataFrame) -> DataFrame:
 
 def _flat(capture: str, snapshot: dict) -> Iterator[tuple]:
     open_text = bool((snapshot.get("capture_policy") or {}).get("debug_unredacted", False))
-    for k, (n, parent, depth, place) in enumerate(png.walk(snapshot["root"])):
+    for k, (n, parent, depth, place) in enumerate(snapshots.walk(snapshot["root"])):
         states, value = n.get("states") or {}, n.get("value") or {}
         hidden = bool(states.get("protected", False)) and not open_text
         keys = n.get("shortcuts") or {}
@@ -90,7 +91,7 @@ def nodes(captures: DataFrame) -> DataFrame:
 
 def edges(captures: DataFrame) -> DataFrame:
     """Relationships between controls."""
-    of = lambda c, s: [(c, n["id"], r, t) for n, *_ in png.walk(s["root"]) for r, targets in (n.get("relationships") or {}).items() for t in targets]
+    of = lambda c, s: [(c, n["id"], r, t) for n, *_ in snapshots.walk(s["root"]) for r, targets in (n.get("relationships") or {}).items() for t in targets]
     return _exploded(captures, EDGES, of)
 
 
@@ -106,15 +107,15 @@ def pixels(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, "path string, width int, height int, channels int, data binary")
 
 
-def embed(files: DataFrame, snapshots: DataFrame) -> DataFrame:
+def embed(files: DataFrame, told: DataFrame, of: Container = OWN) -> DataFrame:
     """Pictures with the snapshots (path, snapshot as JSON) in place of any they held: path, content."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [png.embed_snapshot(c, json.loads(s)) for c, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            made = [snapshots.embed(c, json.loads(s), of) for c, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["path", "content"])
 
-    return files.join(snapshots, "path").select("path", "content", "snapshot").mapInArrow(run, "path string, content binary")
+    return files.join(told, "path").select("path", "content", "snapshot").mapInArrow(run, "path string, content binary")
 
 
 def words_tsv(spark: SparkSession, path: str) -> DataFrame:
