@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from vitrail.llm import bpe, dedup, gam, license, overlap, packing, rules, shard, simhash, tokens, warc
+from vitrail.llm import bpe, dedup, gam, license, license_data, overlap, packing, rules, shard, simhash, tokens, warc
 
 MULTI = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -55,12 +55,23 @@ def none(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
+def slow_spans(text, tokens):
+    """Character spans of tokens, by counting characters byte by byte."""
+    owner = [k for k, c in enumerate(text) for _ in c.encode()]
+    out, at = [], 0
+    for raw in tokens:
+        out.append((owner[at], owner[at + len(raw) - 1] + 1))
+        at += len(raw)
+    return out
+
+
 def test_bpe_matches_the_rank_encoder(docs, none):
     encoder = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(MULTI), special_tokens={})
     want = Counter()
     for i, t, *_ in corpus():
         raw = np.array(encoder.encode_ordinary(t or ""), "<u4").tobytes()
-        want[(i, len(raw) // 4, hashlib.sha256(raw).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest())] += 1
+        spans = np.array(slow_spans(t or "", [encoder.decode_single_token_bytes(k) for k in np.frombuffer(raw, "<u4").tolist()]), "<u4").tobytes()
+        want[(i, len(raw) // 4, *(hashlib.sha256(x).hexdigest() for x in (raw, (t or "").encode(), spans)))] += 1
     assert Counter(tuple(r) for r in bpe.digests(docs, MULTI, public_tokenizers.PATTERN).collect()) == want
     assert bpe.digests(none, MULTI, public_tokenizers.PATTERN).count() == 0
 
@@ -88,6 +99,17 @@ def test_bpe_offsets_and_decode_as_columns(docs):
             assert (row.spans[0].first, row.spans[-1].last) == (0, len(row.text))
 
 
+def test_bpe_refuses_taken_names_and_gives_unknown_vocabularies_whole_texts(docs):
+    with pytest.raises(ValueError):
+        bpe.decode(bpe.encode(docs.select("doc_id", "text"), BYTES, None, ids="Decoded"), BYTES, None, ids="Decoded")
+    assert bpe.codec(MULTI, public_tokenizers.PATTERN).in_pieces and bpe.codec(BYTES, None).in_pieces
+    words = r"\w+ \w+|\S+|\s+"  # crosses blanks
+    own, encoder = bpe.codec(MULTI, words), tiktoken.Encoding("own", pat_str=words, mergeable_ranks=bpe.read_ranks(MULTI), special_tokens={})
+    assert not own.in_pieces
+    for _, t, *_ in corpus()[:40]:
+        assert np.frombuffer(own.encode(t or ""), "<u4").tolist() == encoder.encode_ordinary(t or "")
+
+
 def best_capacity(sizes, shards):
     low, high = max(sizes), sum(sizes)
     while low < high:
@@ -149,64 +171,122 @@ def test_blocks_search_is_exact():
         assert sum(parts) == sum(sizes) and max(parts) <= found
 
 
+def fill(name, width=72, start=""):
+    import textwrap
+
+    return textwrap.fill(license_data.TEXTS[name], width, initial_indent=start, subsequent_indent=start, break_on_hyphens=False)
+
+
+def licensed(spark, texts):
+    rows = list(enumerate(texts))
+    return [r.licenses for r in sorted(license.report(spark.createDataFrame(rows, "doc_id bigint, text string")).collect(), key=lambda r: r.doc_id)]
+
+
 def test_license_scan(spark, none):
     rows = [
         (1, "Intro. Licensed under the Apache License, Version 2.0.\nReleased under the MIT License.\nMore."),
-        (2, license.SENTENCES["mit-grant"] + " words\n" + license.SENTENCES["mit-notice"] + ".\n"),
-        (3, license.SENTENCES["mit-grant"] + "\nother\n" + license.SENTENCES["mit-notice"] + ".\nAll rights reserved!"),
-        (4, None), (5, ""), (6, "licensed UNDER cc by-nc  4.0. Licensed under CC BY-NC 4.0"),
+        (2, license_data.TEXTS["mit-grant"] + " words\n" + license_data.TEXTS["mit-notice"] + ".\n"),
+        (3, license_data.TEXTS["mit-grant"] + "\nother\n" + license_data.TEXTS["mit-notice"] + ".\nAll rights reserved!"),
+        (4, None), (5, ""), (6, "licensed UNDER cc by-nc  4.0. Licensed under CC BY-NC 4.0"), (7, "All rights reserved."), (7, "All rights reserved."),
     ]
     got = {r.doc_id: (r.n_known, r.sentence_ids, r.licenses) for r in license.report(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
-    assert got[1] == (2, "apache-reference;mit-reference", "Apache-2.0;MIT")
-    assert got[2] == (1, "mit-notice", "")
-    assert got[3] == (3, "mit-grant;mit-notice;reserved", "MIT;proprietary")
+    assert got[1] == (2, "apache-2.0-reference;mit-reference", "MIT;Apache-2.0")
+    assert got[2][1:] == ("mit-grant;mit-notice", "MIT")
+    assert got[3] == (3, "mit-grant;mit-notice;reserved", "MIT")
     assert got[4] == got[5] == (0, "", "")
     assert got[6] == (2, "cc-by-nc-4;cc-by-nc-4", "CC-BY-NC-4.0")
+    assert got[7] == (1, "reserved", "proprietary")
     assert license.report(none).count() == 0
 
 
-def test_license_scan_of_wrapped_texts(spark):
-    import textwrap
+def test_license_scan_keeps_rows_and_clashing_columns(spark, docs):
+    own = docs.withColumn("lines", F.lit(1)).withColumn("found", F.lit(2)).withColumn("left", F.lit(3))
+    made = license.scan(own)
+    assert made.columns == [*own.columns, "sentence_ids", "licenses"]
+    assert Counter(r.doc_id for r in made.collect()) == Counter(r[0] for r in corpus())
+    long = "word " * 200_000 + ".\nLicensed under the MIT License.\n" + "\n" * 5000 + "x" * 100_000
+    assert licensed(spark, [long]) == ["MIT"]
+
 
-    wrap = lambda name, width=72, start="": textwrap.fill(license.SENTENCES[name], width, initial_indent=start, subsequent_indent=start, break_on_hyphens=False)
-    mit = "Copyright (c) 2020 Some One\n\n" + wrap("mit-grant", 78) + "\n\n" + wrap("mit-notice", 78) + ".\n"
+def test_license_scan_of_wrapped_texts(spark):
+    mit = "Copyright (c) 2020 Some One\n\n" + fill("mit-grant", 78) + "\n\n" + fill("mit-notice", 78) + ".\n"
+    whole = mit + "\n" + fill("mit-warranty") + ". " + fill("mit-liability") + ".\n"
     apache = '# Copyright 2020 Some One\n# Licensed under the Apache License, Version 2.0 (the "License");\n# you may not use this file except in compliance with the License.\n# You may obtain a copy of the License at\n#\n#     http://www.apache.org/licenses/LICENSE-2.0\n#\n# Unless required\n'
-    gpl = wrap("gpl3-or-later") + ".\n\n" + wrap("gpl-no-warranty") + ".  See the\nGNU General Public License for more details.\n"
-    bsd = "Copyright (c) 2020, Some One\nAll rights reserved.\n\n" + wrap("bsd-grant", 60, " * ") + "\n1. Keep it."
-    cut = wrap("mit-grant").replace("\n", "\n\n", 1)
-    rows = [(1, mit), (2, apache), (3, gpl), (4, bsd), (5, mit.replace("\n", "\r\n")), (6, cut), (7, wrap("mit-grant") + " words")]
-    got = {r.doc_id: r.licenses for r in license.report(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
-    assert got == {1: "MIT", 2: "Apache-2.0", 3: "GPL-3.0-or-later", 4: "BSD", 5: "MIT", 6: "", 7: ""}
+    gpl = fill("gpl3-or-later") + ".\n\n" + fill("gpl-no-warranty") + ".  See the\nGNU General Public License for more details.\n"
+    three = "Copyright (c) 2020, Some One\nAll rights reserved.\n\n" + fill("bsd-grant", 60, " * ") + "\n\n" + "\n".join(f"{k}. {fill(n, 60)}." for k, n in enumerate(("bsd-source", "bsd-binary", "bsd-endorse"), 1))
+    two = "\n".join((fill("bsd-grant"), *(fill(n, 70, "  * ") + "." for n in ("bsd-source", "bsd-binary")), "", fill("bsd-warranty") + "."))
+    one_line = " ".join(license_data.TEXTS[n] + x for n, x in (("mit-grant", ""), ("mit-notice", "."), ("mit-warranty", ".")))
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at http://mozilla.org/MPL/2.0/."
+    isc = "Copyright (c) 2020\n\n" + fill("isc-grant") + ".\n\n" + fill("isc-warranty") + ". IN NO"
+    cases = [
+        (mit, "MIT"), (whole, "MIT"), (whole.replace("\n", "\r\n"), "MIT"), ("MIT License\n\n" + whole, "MIT"), (apache, "Apache-2.0"), (gpl, "GPL-3.0-or-later"), (three, "BSD-3-Clause"), (two, "BSD-2-Clause"),
+        (one_line, "MIT"), (mpl, "MPL-2.0"), (isc, "ISC"), ("Distributed under the MIT license.", "MIT"), ("/* SPDX-License-Identifier: Apache-2.0 */\nint x;", "Apache-2.0"), ("MIT License", "MIT"),
+        ("Licensed under the BSD 3-Clause License", "BSD-3-Clause"), (" GNU AFFERO GENERAL PUBLIC LICENSE\n    Version 3, 19 November 2007\n\n Copyright", "AGPL-3.0"), (fill("unlicense-public") + ".\n\n" + fill("unlicense-anyone", 60) + ".", "Unlicense"),
+        (fill("mit-grant").replace("\n", "\n\n", 1), ""), (fill("mit-notice") + " words", ""), ("the license of MIT", ""),
+    ]
+    assert licensed(spark, [t for t, _ in cases]) == [n for _, n in cases]
+
+
+def test_license_sentences_and_rules_fit():
+    told = license_data.sentences()
+    assert all(i in told for _, ids in license_data.rules() for i in ids)
+    assert len(license.KNOWN) == sum(map(len, told.values()))  # no two sentences are alike
+    pattern = re.compile(license.wrapped(license.KNOWN))
+    assert all(pattern.search(s.replace(" ", "\n", 3)) for s in license.KNOWN)
+
+
+def slow_sections(text, ends, rule, tokenizer):
+    """Tokens of each section, character by character."""
+    ids = tokenizer.encode(text, add_special_tokens=False).ids
+    raws = [bytes(bpe.CHAR_BYTES[c] for c in tokenizer.id_to_token(i)) for i in ids]
+    holds = lambda c: next(k for k, e in enumerate(ends) if c < e)
+    out = [0] * len(ends)
+    for first, last in slow_spans(text, raws):
+        inside = [holds(c) for c in range(first, last)]
+        out[inside[0] if rule == "start" else inside[-1] if rule == "end" else min(set(inside), key=lambda k: (-inside.count(k), k))] += 1
+    return out
+
+
+def slow_line_ends(text):
+    ends = [k + 1 for k, c in enumerate(text) if c == "\n"]
+    return ends if ends and ends[-1] == len(text) else [*ends, len(text)]
 
 
 @pytest.mark.parametrize("rule", tokens.RULES)
-def test_token_counts(docs, none, rule):
+def test_token_counts_of_every_line(spark, none, rule):
     plain = Tokenizer.from_file(BYTES)
     plain.encode_special_tokens = True
-    got = Counter()
-    for r in tokens.by_line(docs, BYTES, None, rule).collect():
-        got[r.doc_id] += r.n_tokens
+    rows = [(i, t) for i, t, *_ in corpus() if len(t or "") < 3000] + [(900, "a\n\n\nb  \n  \n c\u732b\n\u00e9\r\n"), (901, "\n"), (902, "\n\n\n x")]
     want = Counter()
-    for i, t, *_ in corpus():
-        want[i] += len(plain.encode(t or "", add_special_tokens=False).ids)
-    assert +got == +want
+    for i, t in rows:
+        ends = slow_line_ends(t or "")
+        for k, (a, b, n) in enumerate(zip([0, *ends], ends, slow_sections(t or "", ends, rule, plain))):
+            want[(i, k, a, b - a, n)] += 1
+    given = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("sections", F.lit(1))
+    assert Counter(tuple(r) for r in tokens.by_line(given, BYTES, None, rule).collect()) == want
     assert tokens.by_line(none, BYTES).count() == 0
 
 
 def test_token_attribution_rules():
-    ends, sections = np.array([2, 7, 9]), np.array([3, 3, 8, 9])
-    assert tokens.attribute(ends, sections, "start").tolist() == [2, 0, 1, 0]
-    assert tokens.attribute(ends, sections, "end").tolist() == [1, 0, 1, 1]
-    assert tokens.attribute(ends, sections, "most").tolist() == [1, 0, 2, 0]
-    assert tokens.attribute(np.zeros(0), np.array([0])).tolist() == [0]
+    first, last, sections = np.array([0, 2, 7]), np.array([2, 7, 9]), np.array([3, 3, 8, 9])
+    assert tokens.attribute(first, last, sections, "start").tolist() == [2, 0, 1, 0]
+    assert tokens.attribute(first, last, sections, "end").tolist() == [1, 0, 1, 1]
+    assert tokens.attribute(first, last, sections, "most").tolist() == [1, 0, 2, 0]
+    assert tokens.attribute(np.zeros(0), np.zeros(0), np.array([0])).tolist() == [0]
 
 
-def test_token_counts_by_field(docs):
-    rows = tokens.by_field(docs, ["word", "text"], BYTES).collect()
+@pytest.mark.parametrize("rule", tokens.RULES)
+def test_token_counts_by_field(docs, rule):
     plain = Tokenizer.from_file(BYTES)
     plain.encode_special_tokens = True
-    assert len(rows) == 2 * len(corpus())
-    assert sum(r.n_tokens for r in rows) == sum(len(plain.encode(f"xx\n{t or ''}", add_special_tokens=False).ids) for _, t, *_ in corpus())
+    want = Counter()
+    for i, t, *_ in corpus():
+        whole = f"xx\n{t or ''}"
+        for name, n in zip(("word", "text"), slow_sections(whole, [3, len(whole)], rule, plain)):
+            want[(i, name, n)] += 1
+    assert Counter(tuple(r) for r in tokens.by_field(docs, ["word", "text"], BYTES, rule=rule).collect()) == want
+    with pytest.raises(ValueError):
+        tokens.by_field(docs, [], BYTES)
 
 
 def labelled(n=400):
@@ -267,6 +347,52 @@ def test_warc_round_trip(spark):
     assert warc.archive(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
 
 
+def test_warc_merges_many_runs_over_many_ranges(spark):
+    rnd = random.Random(8)
+    pages = [(k, f"http://{'hot' if k % 3 == 0 else rnd.choice('abcdefg')}.com/{rnd.randint(0, 40)}", f"page {rnd.randint(0, 900)} " * rnd.randint(1, 30)) for k in range(3000)]
+    given = spark.createDataFrame(pages, "page_id bigint, url string, html string").withColumn("url_key", F.lit(1)).withColumn("digest", F.lit(2)).withColumn("file", F.lit("x"))
+    path = warc.shared_path(spark, "test")
+    warc.write(given.repartition(6), path, file_records=70)
+    index = warc.runs(spark, path)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "30000")
+    try:
+        index = warc.runs(spark, path)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert index.select("run").distinct().count() > 3
+    made = warc.merge(index, 300)
+    parts = [r for r in made.withColumn("part", F.spark_partition_id()).collect()]
+    assert len({r.part for r in parts}) > 5
+    order = [(r.part, r.url_key.encode(), r.captured, r.page_id) for r in sorted(parts, key=lambda r: r.part)]
+    assert [o[1:] for o in order] == sorted(o[1:] for o in order) and Counter(r.page_id for r in parts) == Counter(p[0] for p in pages)
+    again = warc.archive(given, None)
+    assert sorted(map(str, again.select("page_id", "record_type", "refers_to").collect())) == sorted(map(str, made.select("page_id", "record_type", "refers_to").collect()))
+    forced = warc.archive(given, None, most_digests=0)
+    assert sorted(map(str, again.select("page_id", "record_type", "refers_to").collect())) == sorted(map(str, forced.select("page_id", "record_type", "refers_to").collect()))
+
+
+def test_warc_rolls_files_by_bytes(spark):
+    pages = [(k, "http://a/", "x" * (10 if k % 2 else 300_000) + str(k)) for k in range(40)] + [(100, "http://b/", "long " * 500_000)]
+    path = warc.shared_path(spark, "test")
+    warc.write(spark.createDataFrame(pages, "page_id bigint, url string, html string").coalesce(1), path, classes=(1000, warc.FILE_BYTES // 4, 1 << 31))
+    sizes = sorted(r.length for r in spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("length").collect())
+    assert len(sizes) >= 7 and sizes[-1] < 6_100_000
+    rows = warc.merge(warc.runs(spark, path)).collect()
+    assert {(r.page_id, r.payload_bytes) for r in rows} == {(i, len(h)) for i, _, h in pages}
+
+
+def test_block_merge_holds_one_block_a_run():
+    rnd = random.Random(6)
+    for _ in range(20):
+        runs = [sorted((rnd.randint(0, 500), k, j) for j in range(rnd.randint(1, 60))) for k in range(rnd.randint(1, 7))]
+        blocks = sorted((r[k : k + 5][0], str(n), r[k : k + 5]) for n, r in enumerate(runs) for k in range(0, len(r), 5))
+        merge, out = warc.BlockMerge(lambda x: x), []
+        for _, run, rows in blocks:
+            out += merge.take(run, rows)
+        out += merge.rest()
+        assert out == sorted(x for r in runs for x in r) and merge.held <= len(runs)
+
+
 def test_loser_tree():
     rnd = random.Random(4)
     for k in range(12):
@@ -387,7 +513,7 @@ def test_bit_sliced_distance():
     a, b = (rnd.integers(0, 1 << 63, 130, dtype=np.uint64) for _ in range(2))
     b[::3] = a[::3] ^ (np.uint64(1) << rnd.integers(0, 64, len(a[::3]), dtype=np.uint64))
     alive = np.full(3, np.uint64(2**64 - 1))
-    for radius in range(1, 8):
+    for radius in (*range(1, 8), 15, 22, 31):
         hit = simhash.within(simhash.planes_of(a), simhash.planes_of(b), alive, radius)
         got = np.unpackbits(hit.view(np.uint8), bitorder="little")[: len(a)].astype(bool)
         assert (got == (np.bitwise_count(a ^ b) <= radius)).all()
@@ -415,10 +541,34 @@ def test_exact_dedup(docs, none):
     assert dedup.decisions(none).count() == 0 and dedup.drop_copies(none).count() == 0
 
 
+@pytest.mark.parametrize("slice_words", [0, 256, dedup.SLICE_WORDS])
+def test_exact_dedup_with_a_filter_in_slices(docs, slice_words):
+    assert Counter(map(tuple, dedup.decisions(docs, slice_words=slice_words).collect())) == Counter(map(tuple, dedup.decisions(docs).collect()))
+    assert Counter(r.doc_id for r in dedup.drop_copies(docs, slice_words=slice_words).collect()) == Counter(r.doc_id for r in dedup.drop_copies(docs).collect())
+
+
+def test_probe_in_slices_moves_no_row(spark):
+    keys = spark.createDataFrame([(str(k % 700),) for k in range(9000)], "sha string")
+    patterns = dedup.repeated(keys, "sha", 9000).cache()
+    for slice_words in (0, dedup.SLICE_WORDS):
+        plan = dedup.probe(keys, patterns, "sha", 9000, "possible", slice_words)._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
+
+
+def test_ties_of_copies_do_not_depend_on_arrival(spark):
+    rows = [(1, "same text", "a"), (1, "same text", "b"), (1, "same  text", "c"), (1, "same  text", "d"), (2, "other", "e")]
+    kept = set()
+    for k in range(4):
+        df = spark.createDataFrame(rows[k:] + rows[:k], "doc_id bigint, text string, more string").repartition(3)
+        kept.add(str(sorted(map(tuple, dedup.drop_copies(df).collect()))))
+        kept.add(str(sorted(map(tuple, simhash.drop_near_copies(df).collect()))) + "near")
+    assert len(kept) == 2
+
+
 def test_bloom_filter_misses_no_copy(spark):
     keys = spark.createDataFrame([(str(k % 700),) for k in range(1000)], "sha string")
-    words = dedup.repeated_words(keys, "sha", 1000).cache()
-    probed = dedup.probe(keys, words, "sha", 1000, "possible")
+    patterns = dedup.repeated(keys, "sha", 1000).cache()
+    probed = dedup.probe(keys, patterns, "sha", 1000, "possible")
     flags = {r.sha: r.possible for r in probed.collect()}
     assert all(flags[str(k)] for k in range(300))
     assert sum(flags[str(k)] for k in range(300, 700)) < 100
@@ -448,6 +598,8 @@ def test_rules(spark, docs, none):
     assert Counter(r.doc_id for r in kept.collect()) == Counter(r.doc_id for r in rows if r.kept)
     assert rules.judge(none, trusted).count() == 0
     assert all(r.ratio == 0 for r in rules.judge(docs, trusted.limit(0)).collect())
+    assert rules.weights(docs, trusted, most_ids=0) == rules.weights(docs, trusted) == rules.weights(docs, trusted, most_ids=3)
+    assert rules.buckets_of(docs) == rules.LEAST_BUCKETS < rules.buckets_of(spark.range(40_000).select(F.repeat(F.lit("x"), 1000).alias("text")))
 
 
 def test_ratio_against_counts_by_hand(spark):
@@ -458,7 +610,7 @@ def test_ratio_against_counts_by_hand(spark):
         h = 42
         for w in words:
             h = xxhash.xxh64_intdigest(w.encode(), h)
-        return h & (rules.BUCKETS - 1)
+        return h & (rules.LEAST_BUCKETS - 1)
 
     raw, good = Counter(), Counter()
     grams = {}

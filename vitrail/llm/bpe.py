@@ -3,10 +3,15 @@
 The merges are the tokenizers library's. A rank file lists tokens without their merges, so a merge is stated for every
 split of a token into two tokens, in the order of ranks: the library then joins the same pairs in the same order as a
 rank-driven encoder. A text is cut into pieces that cannot influence one another, and each worker keeps the ids
-of the pieces it has met in a table of bounded size; so a common word is merged once, not once for each occurrence.
+of the pieces it has met in a table of bounded size; so a common word is merged once, not once for each occurrence. Vocabularies
+for which that isn't known to hold (another pattern, a normaliser, another pre-tokenizer) are given whole texts.
+
+Offsets are character spans [first, last): tokens are mapped to bytes by the byte table, and bytes to characters. A character that is
+split between tokens belongs to each of them.
 
 Defined results: a null text counts as empty, an empty text has no ids, repeated rows are encoded alike, texts of any
-length are encoded whole, and extra columns pass through untouched under their own names.
+length are encoded whole, an empty table gives no rows, and extra columns pass through untouched under their own names; a new
+column whose name is taken is refused.
 """
 
 from __future__ import annotations
@@ -29,6 +34,9 @@ from vitrail.llm.common import fresh, short_batches
 SPACE = "\t-\r \x85\xa0  -     　"
 #: A run of other characters with at most one blank before it, or white space: no token crosses their borders.
 PIECES = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+# The splitting pattern, and the pre-tokenizer with the same one built in, for which that is so.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+PRE_TOKENIZER = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
 #: Pieces in one worker's table; at the bound it is emptied and fills anew.
 CACHE_PIECES = 600_000
 #: A piece of which the pattern makes one or two matches whatever the Unicode version: letters, then punctuation.
@@ -95,6 +103,7 @@ class Codec:
             self.tokenizer.encode_special_tokens = True
         else:
             self.tokenizer = from_ranks(path, pattern)
+        self.in_pieces = self._cuts_at_blanks(pattern)
         vocab = self.tokenizer.get_vocab()
         special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
         self.table = [b""] * (max(vocab.values()) + 1)
@@ -104,6 +113,15 @@ class Codec:
         self.model = self.tokenizer.model
         self.met: dict[str, bytes] = {}
 
+    def _cuts_at_blanks(self, pattern: str | None) -> bool:
+        """Whether PIECES are known to be independent for this vocabulary."""
+        told = settings(self.tokenizer)
+        if told["normalizer"] is not None or told["model"]["type"] != "BPE" or told["model"].get("dropout"):
+            return False
+        if any(t["lstrip"] or t["rstrip"] or not t["special"] for t in told["added_tokens"]):
+            return False
+        return pattern == SPLIT or (pattern is None and PRE_TOKENIZER.items() <= told["pre_tokenizer"].items())
+
     def _piece(self, piece: str) -> bytes:
         """Ids of a piece as little-endian unsigned 32-bit integers."""
         if plain := PLAIN.fullmatch(piece):
@@ -119,6 +137,8 @@ class Codec:
 
     def encode(self, text: str) -> bytes:
         """The text's ids as little-endian unsigned 32-bit integers."""
+        if not self.in_pieces:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         met, piece = self.met.get, self._piece
         return b"".join([met(p) or piece(p) for p in PIECES.findall(text)])
 
@@ -152,6 +172,11 @@ def decode_stream(parts: Iterator[bytes]) -> Iterator[str]:
     yield decoder.decode(b"", True)
 
 
+def _refuse_clash(given: list[str], new: list[str]) -> None:
+    if clash := {c.lower() for c in given} & {k.lower() for k in new}:
+        raise ValueError(f"columns {sorted(clash)} exist already; name the new ones otherwise")
+
+
 def map_texts(df: DataFrame, text: str, make: Callable[[], Callable[[list[str]], dict]], fields: dict[str, str]) -> DataFrame:
     """Add the columns `fields` (name: type) made from batches of texts.
 
@@ -167,16 +192,15 @@ def map_texts(df: DataFrame, text: str, make: Callable[[], Callable[[list[str]],
             made = work([x or "" for x in batch.column(given.index(text)).to_pylist()])
             yield pa.RecordBatch.from_arrays([*batch.columns, *(made[k] for k in fields)], names=[*given, *fields])
 
-    if clash := {c.lower() for c in given} & {k.lower() for k in fields}:
-        raise ValueError(f"columns {sorted(clash)} exist already; name the new ones otherwise")
+    _refuse_clash(given, [*fields])
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), *(f"`{k}` {v}" for k, v in fields.items())])
     return df.mapInArrow(run, schema)
 
 
-def encode(df: DataFrame, path: str, pattern: str | None, text: str = "text", ids: str = "ids", offsets: str | None = None, decoded: str | None = None) -> DataFrame:
+def encode(df: DataFrame, path: str, pattern: str | None, text: str = "text", ids: str = "ids", offsets: str | None = None, decoded: str | None = None, spans: str | None = None) -> DataFrame:
     """Add the ids of each text as packed little-endian unsigned 32-bit integers (binary).
 
-    offsets: names a column array<struct<first, last>> with each token's character span.
+    offsets: names a column array<struct<first, last>> with each token's character span. spans: the same, packed as the ids are.
     decoded: names a binary column with the bytes that the ids decode to.
     """
 
@@ -188,21 +212,25 @@ def encode(df: DataFrame, path: str, pattern: str | None, text: str = "text", id
             made = {ids: pa.array(packed, pa.binary())}
             if decoded:
                 made[decoded] = pa.array([own.decode(np.frombuffer(p, "<u4")) for p in packed], pa.binary())
+            if offsets or spans:
+                found = [char_bounds(t.encode(), own.byte_ends(np.frombuffer(p, "<u4"))) for t, p in zip(texts, packed)]
             if offsets:
-                spans = [char_bounds(t.encode(), own.byte_ends(np.frombuffer(p, "<u4"))) for t, p in zip(texts, packed)]
-                struct = pa.StructArray.from_arrays([pa.array(np.concatenate([s[k] for s in spans] or [[]]).astype(np.int32)) for k in (0, 1)], ["first", "last"])
-                made[offsets] = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(s[0]) for s in spans)]), pa.int32()), struct)
+                struct = pa.StructArray.from_arrays([pa.array(np.concatenate([s[k] for s in found] or [[]]).astype(np.int32)) for k in (0, 1)], ["first", "last"])
+                made[offsets] = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(s[0]) for s in found)]), pa.int32()), struct)
+            if spans:
+                made[spans] = pa.array([np.column_stack(s).astype("<u4").tobytes() for s in found], pa.binary())
             return made
 
         return work
 
-    kinds = {ids: "binary"} | ({decoded: "binary"} if decoded else {}) | ({offsets: "array<struct<first:int,last:int>>"} if offsets else {})
+    kinds = {ids: "binary"} | ({decoded: "binary"} if decoded else {}) | ({spans: "binary"} if spans else {}) | ({offsets: "array<struct<first:int,last:int>>"} if offsets else {})
     return map_texts(df, text, make, kinds)
 
 
 def decode(df: DataFrame, path: str, pattern: str | None, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Add the bytes that packed ids decode to. Null ids decode to no bytes."""
     given = [*df.columns]
+    _refuse_clash(given, [out])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
@@ -216,14 +244,15 @@ def decode(df: DataFrame, path: str, pattern: str | None, ids: str = "ids", out:
 
 
 def digests(df: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document the number of its ids, their digest and that of the decoded bytes."""
-    ids, decoded = fresh(df, "ids", "decoded")
-    made = encode(df.select(doc_id, text), path, pattern, text, ids, decoded=decoded)
+    """Per document the number of its ids, their digest, that of the decoded bytes, and that of the tokens' character spans."""
+    ids, decoded, spans = fresh(df, "ids", "decoded", "spans")
+    made = encode(df.select(doc_id, text), path, pattern, text, ids, decoded=decoded, spans=spans)
     return made.select(
         F.col(doc_id),
         (F.octet_length(ids) / 4).cast("long").alias("n_tokens"),
         F.sha2(F.col(ids), 256).alias("ids_sha256"),
         F.sha2(F.col(decoded), 256).alias("decoded_sha256"),
+        F.sha2(F.col(spans), 256).alias("offsets_sha256"),
     )
 
 

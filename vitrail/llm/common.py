@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitrail.session import materialize, ship
 
-__all__ = ["ARROW_ROWS", "attach_groups", "blank_null", "fresh", "load", "materialize", "short_batches"]
+__all__ = ["attach_groups", "blank_null", "broadcast_in_slices", "fresh", "load", "materialize", "short_batches"]
 
-#: Rows of one Arrow batch for operators that send whole texts to Python.
+#: Rows and bytes of one Arrow batch for operators that send whole texts to Python; a single longer text is a batch of its own.
 ARROW_ROWS = 1000
+ARROW_BYTES = 32 << 20
 
 #: A group holding at least this share of all rows is hot; there can be no more than its inverse of them.
 HOT_SHARE = 1_000
@@ -40,11 +43,38 @@ def blank_null(text: str | Column) -> Column:
 
 
 def short_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches of whole texts short, so that Python's memory doesn't follow the text length."""
+    """Keep Arrow batches of whole texts short in rows and in bytes, so that Python's memory doesn't follow the texts.
+
+    The plan reads these settings when it runs, so they are lowered for the rest of the session (never raised).
+    """
     ship(spark)
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > ARROW_ROWS:
-        spark.conf.set(key, str(ARROW_ROWS))
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)):
+        if not 0 < _number(spark.conf.get(key)) <= most:
+            spark.conf.set(key, str(most))
+
+
+def _number(size: str) -> int:
+    """A setting's number, with Spark's units of bytes."""
+    digits, unit = re.fullmatch(r"(-?\d+)\s*([kmgt]?)b?", size.strip().lower()).groups()
+    return int(digits) << " kmgt".index(unit or " ") * 10
+
+
+def broadcast_in_slices(rows: DataFrame, side: DataFrame, key: str, most: int, how: str = "left") -> DataFrame:
+    """Join `rows` (left, inner or left_semi, on `key`) with a side of any size without ever moving `rows`.
+
+    The side is counted. Up to `most` rows it is broadcast; beyond that, slices of it by the key's hash, of about
+    `most` rows each, are broadcast one by one to the rows with such keys: `rows` is read once for each slice, and no
+    exchange holds any of it. `side` should be materialised; null keys match nothing.
+    """
+    slices = max(1, -(-side.count() // max(1, most)))
+    if slices == 1:
+        return rows.join(F.broadcast(side), key, how)
+    of = F.pmod(F.xxhash64(key), F.lit(slices))
+    parts = [rows.where(of == k).join(F.broadcast(side.where(of == k)), key, how) for k in range(slices)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def attach_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:

@@ -4,7 +4,9 @@ A plan is made from the histogram of piece lengths alone (as many bins as a sequ
 of at most three documents that fill a sequence are enumerated over coarse lengths, repeat counts are fitted to the
 histogram by non-negative least squares and rounded down, and what remains is packed best-fit, longest first, into the
 room left. The plan says which ranks of each length go to which sequences. The rows then find their places by joining
-with it: pieces are ranked within their length, in parts so that no length gathers in one task.
+with it: pieces are ranked within their length, in parts so that no length gathers in one task. Places are looked up by length and block
+of ranks. What is broadcast is bounded by the plan: at most one place for each coarse pattern's lengths and each step of best fit, and
+LOOKUPS more for each length; first ranks number one for each length and each PART_ROWS pieces.
 
 Defined results: a null text counts as empty, and an empty document is its end token alone. Only documents longer than
 a sequence are cut, into full pieces and a last one that may be shorter. Repeated rows are packed each for itself; a null
@@ -35,8 +37,10 @@ UNITS = 160
 #: Chunks in one worker's table of ids; at the bound it is emptied and fills anew.
 CACHE_CHUNKS = 600_000
 LONG_CHUNK = 64
-#: Parts of one length whose pieces are ranked apart.
-RANK_PARTS = 64
+#: Pieces of one length that are ranked together, about: a more frequent length is ranked in more parts.
+PART_ROWS = 100_000
+#: Blocks of ranks into which a length's pieces are cut to look up their places.
+LOOKUPS = 256
 #: A chunk that the vocabulary's pattern cuts into letters and then punctuation, whatever the Unicode version.
 PLAIN = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!#-&(-/:-@\[-`{-~]*)")
 
@@ -240,6 +244,11 @@ def _best_fit(left: np.ndarray, kinds: list[tuple[list[int], int]], size: int) -
         left[length] = 0
 
 
+def _lookups(plan: Plan, step: dict[int, int]) -> list[tuple[int, int, int, int, int, int]]:
+    """A plan's places, one row for each block of ranks that a place has a share in: (length, block, low, n, sequence, offset)."""
+    return [(length, block, low, n, sequence, offset) for length, low, n, sequence, offset in plan.places() for block in range(low // step[length], (low + n - 1) // step[length] + 1)]
+
+
 def tokenized(docs: DataFrame, path: str, size: int, end: int, doc_id: str, text: str, keep_ids: bool) -> DataFrame:
     """Pieces of every document: doc_id, piece, start, length, ids_crc32 and, if asked for, ids (packed)."""
 
@@ -273,24 +282,23 @@ def tokenized(docs: DataFrame, path: str, size: int, end: int, doc_id: str, text
 def pack(docs: DataFrame, path: str, size: int = 4096, end: int = 1, doc_id: str = "doc_id", text: str = "text", keep_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset; with keep_ids also its packed ids."""
     pieces = materialize(tokenized(docs, path, size, end, doc_id, text, keep_ids), "pack-pieces")
-    # rank within a length: parts of a length are ranked apart, a part's first rank is the count of those before it
-    part = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(RANK_PARTS)).cast("int")
-    counts = pieces.groupBy("length", part.alias("part")).agg(F.count("*").alias("n"))
-    rows = counts.collect()  # size times RANK_PARTS rows at most
-    total: dict[int, int] = {}
-    firsts = []
-    for r in sorted(rows, key=lambda r: (r.length, r.part)):
-        firsts.append((r.length, r.part, total.get(r.length, 0)))
-        total[r.length] = total.get(r.length, 0) + r.n
+    counted = pieces.groupBy("length").agg(F.count("*").alias("n"))
+    total = {r.length: r.n for r in counted.collect()}  # a row for each length, `size` at most
     plan = make_plan(total, size)
     spark = docs.sparkSession
-    first = F.broadcast(spark.createDataFrame(firsts, "length bigint, part int, first bigint"))
-    places = F.broadcast(spark.createDataFrame(plan.places(), "length bigint, low bigint, n bigint, sequence bigint, offset bigint"))
+    # a length's pieces are ranked in parts, a part's first rank is the count of those before it
+    steps = [(length, -(-n // PART_ROWS), -(-n // LOOKUPS)) for length, n in total.items()]
+    known = F.broadcast(spark.createDataFrame(steps, "length bigint, parts int, step bigint"))
+    parted = pieces.join(known, "length").withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("parts")).cast("int"))
+    counts = parted.groupBy("length", "part").agg(F.count("*").alias("n"))
+    before = W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    first = counts.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     order = W.partitionBy("length", "part").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = pieces.withColumn("part", part).withColumn("k", F.row_number().over(order)).join(first, ["length", "part"])
-    ranked = ranked.withColumn("rank", F.col("first") + F.col("k") - 1)
+    ranked = parted.withColumn("k", F.row_number().over(order)).join(F.broadcast(first), ["length", "part"])
+    ranked = ranked.withColumn("rank", F.col("first") + F.col("k") - 1).withColumn("block", F.floor(F.col("rank") / F.col("step")))
+    places = F.broadcast(spark.createDataFrame(_lookups(plan, {length: step for length, _, step in steps}), "length bigint, block bigint, low bigint, n bigint, sequence bigint, offset bigint"))
     here = (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("low") + F.col("n"))
-    placed = ranked.join(places, "length").where(here)
+    placed = ranked.join(places, ["length", "block"]).where(here)
     return placed.select(
         "doc_id", "piece", "start", "length", "ids_crc32", (F.col("sequence") + F.col("rank") - F.col("low")).alias("sequence_id"), "offset", *(["ids"] if keep_ids else [])
     )

@@ -3,10 +3,12 @@
 Words and pairs of neighbouring words of every document are hashed into buckets. Two smoothed multinomials over the buckets are
 counted: one over all documents (raw), one over the trusted ones (those labelled good). A document's score is the sum of
 log(trusted / raw) over its n-grams, divided by their number; below the threshold it is rejected. Bucket weights are whole
-millionths, so sums and verdicts don't depend on the order of rows.
+millionths, so sums and verdicts don't depend on the order of rows. The number of buckets grows with the root of the corpus's bytes, as
+a vocabulary does: PER_ROOT times the root, at least LEAST_BUCKETS.
 
 Only DataFrame functions run: no Python on the executors. Counting explodes n-grams and sums them by bucket before the
-shuffle, so one row for each task and bucket moves at most; scoring reads each row once where it lies and moves nothing.
+shuffle, so one row for each task and bucket moves at most; scoring reads each row once where it lies and moves nothing. Trusted
+ids are broadcast, in slices where there are more than BROADCAST_IDS, so that no text moves for them either.
 
 Defined results: a null text has no words, lines or symbols. Fewer words than `min_words`, or more than `max_repeat` per cent of
 words in repeated windows, fails the base rules; so an empty text is rejected. Windows are compared by 64-bit hashes of
@@ -22,12 +24,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitrail.llm.common import blank_null
+from vitrail.llm.common import blank_null, broadcast_in_slices, materialize
 
 BLANK_CHARS = " \t\n\x0b\x0c\r"
 BLANKS = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]+"
-BUCKETS = 1 << 14
+LEAST_BUCKETS = 1 << 14
+#: Buckets for each unit of the root of the corpus's bytes.
+PER_ROOT = 4
 #: Trusted n-grams added to each bucket; the raw multinomial gets as many for its own size, so that a bucket with few
 #: n-grams says little for or against a text, in a small corpus as well.
 SMOOTHING = 30.0
@@ -36,7 +40,7 @@ THRESHOLD = -60_000
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT = 30
-#: Trusted ids that may be broadcast; more are joined by shuffling.
+#: Trusted ids that are broadcast at once.
 BROADCAST_IDS = 2_000_000
 
 
@@ -95,39 +99,52 @@ def base_failed(n_words: Column, n_repeat_words: Column, min_words: int = MIN_WO
     return (n_words < min_words) | (100 * n_repeat_words > max_repeat * n_words)
 
 
-def _bucket(*of: Column) -> Column:
-    return F.xxhash64(*of).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
+def buckets_of(docs: DataFrame, text: str = "text") -> int:
+    """Buckets for a corpus: a power of two."""
+    size = docs.agg(F.sum(F.octet_length(F.col(text)).cast("bigint"))).first()[0] or 0
+    return max(LEAST_BUCKETS, 1 << (PER_ROOT * math.isqrt(size)).bit_length())
 
 
-def weights(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str = "text") -> list[int]:
+def _bucket(buckets: int, *of: Column) -> Column:
+    return F.xxhash64(*of).bitwiseAND(F.lit(buckets - 1)).cast("int")
+
+
+def _counts(texts: DataFrame, buckets: int, out: str) -> DataFrame:
+    """N-grams of a table of words by bucket: bucket, `out`."""
+    each = texts.select("words", F.posexplode("words").alias("at", "word"))
+    following = F.get("words", F.col("at") + 1)
+    grams = each.select(F.explode(F.array(_bucket(buckets, F.col("word")), F.when(following.isNotNull(), _bucket(buckets, F.col("word"), following)))).alias("bucket"))
+    return grams.where("bucket IS NOT NULL").groupBy("bucket").agg(F.count("*").alias(out))
+
+
+def weights(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str = "text", most_ids: int = BROADCAST_IDS, buckets: int | None = None) -> list[int]:
     """Millionths of log(trusted / raw) of each bucket, counted over every document.
 
-    trusted: ids of the trusted documents (column doc_id).
+    trusted: ids of the trusted documents (column doc_id). Raw n-grams are counted without a join; the trusted documents
+    are found by their ids before their words are cut.
     """
-    ids = trusted.select(F.col("doc_id").cast("bigint").alias("id")).where("id IS NOT NULL").distinct().withColumn("trusted", F.lit(1))
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    own = docs.select(F.col(doc_id).cast("bigint").alias("id"), words_of(text).alias("words"))
-    marked = own.join(ids, "id", "left").select("words", F.coalesce("trusted", F.lit(0)).alias("trusted"))
-    each = marked.select("words", "trusted", F.posexplode("words").alias("at", "word"))
-    following = F.get("words", F.col("at") + 1)
-    grams = each.select("trusted", F.explode(F.array(_bucket(F.col("word")), F.when(following.isNotNull(), _bucket(F.col("word"), following)))).alias("bucket"))
-    counted = grams.where("bucket IS NOT NULL").groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("trusted").alias("good"))
-    table = {r.bucket: (r.good, r.raw) for r in counted.collect()}  # BUCKETS rows at most
-    good, raw = (sum(x[k] for x in table.values()) for k in (0, 1))
+    buckets = buckets or buckets_of(docs, text)
+    ids = materialize(trusted.select(F.col("doc_id").cast("bigint").alias("id")).where("id IS NOT NULL").distinct(), "rules-trusted")
+    own = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text"))
+    good_docs = broadcast_in_slices(own, ids, "id", most_ids, "left_semi")
+    raws = _counts(own.select(words_of("text").alias("words")), buckets, "raw")
+    goods = _counts(good_docs.select(words_of("text").alias("words")), buckets, "good")
+    raw_of, good_of = ({r[0]: r[1] for r in t.collect()} for t in (raws, goods))  # as many rows as buckets at most
+    good, raw = sum(good_of.values()), sum(raw_of.values())
     if not good:
-        return [0] * BUCKETS  # nothing is trusted: no evidence against any text
+        return [0] * buckets  # nothing is trusted: no evidence against any text
     of = lambda g, r: round(1e6 * math.log((g + SMOOTHING) / (r * good / raw + SMOOTHING)))
-    return [of(*table.get(b, (0, 0))) for b in range(BUCKETS)]
+    return [of(good_of.get(b, 0), raw_of.get(b, 0)) for b in range(buckets)]
 
 
 def ratio(words: Column, table: list[int]) -> Column:
     """The mean log-likelihood ratio of the words' n-grams, in millionths (summed whole, then divided)."""
     held = F.split(F.lit(",".join(map(str, table))), ",").cast("array<bigint>")  # folded into one literal
+    buckets = len(table)
 
     def of(word: Column, k: Column) -> Column:
         following = F.get(words, k + 1)
-        return F.get(held, _bucket(word)) + F.when(following.isNull(), F.lit(0)).otherwise(F.get(held, _bucket(word, following)))
+        return F.get(held, _bucket(buckets, word)) + F.when(following.isNull(), F.lit(0)).otherwise(F.get(held, _bucket(buckets, word, following)))
 
     total = F.aggregate(F.transform(words, of), F.lit(0).cast("bigint"), lambda a, x: a + x)
     return total / F.greatest(2 * F.size(words) - 1, F.lit(1))

@@ -29,8 +29,8 @@ from vitrail.llm.common import blank_null, materialize
 
 #: Hexadecimal digits by which blocks are divided: 4096 blocks at first, and as many for each block divided.
 DIGITS = 3
-#: Parts of a shard whose rows are numbered apart, so that numbering doesn't gather a shard in one task.
-SLOT_PARTS = 64
+#: Rows of a shard that are numbered together, about: larger shards are numbered in more parts, so that none gathers in one task.
+PART_ROWS = 100_000
 
 
 class Blocks:
@@ -139,13 +139,16 @@ def minimax(rows: DataFrame, shards: int) -> tuple[int, list[str], list[str]]:
         blocks = Blocks(parts)
 
 
-def slots(rows: DataFrame, shard: str, spread: Column, order: list[Column], out: str = "slot", parts: int = SLOT_PARTS) -> DataFrame:
-    """Number the rows of each shard from 0 without gaps.
+def slots(rows: DataFrame, shard: str, shards: int, spread: Column, order: list[Column], out: str = "slot", part_rows: int = PART_ROWS) -> DataFrame:
+    """Number the rows of each shard (0 to shards - 1) from 0 without gaps.
 
-    Rows are numbered within parts of a shard (by the hash `spread`); a part's first number is the count of rows in the
-    parts before it, a table of shards times parts rows.
+    Rows are numbered within parts of a shard (by the hash `spread`), of which a shard has one for each `part_rows` of its rows; a part's
+    first number is the count of rows in the parts before it. The table of first numbers, which is broadcast, has as many rows as there
+    are parts: the shards and one more for each `part_rows` rows.
     """
-    parted = rows.withColumn("__part", F.pmod(spread, F.lit(parts)).cast("int"))
+    sizes = {r[0]: r[1] for r in rows.groupBy(shard).count().collect()}  # a row for each shard
+    parts = F.array(*(F.lit(max(1, -(-sizes.get(k, 0) // part_rows))) for k in range(shards)))
+    parted = rows.withColumn("__part", F.pmod(spread, F.get(parts, F.col(shard))).cast("int"))
     counts = parted.groupBy(shard, "__part").agg(F.count("*").alias("__n"))
     before = W.partitionBy(shard).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
     firsts = counts.select(shard, "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))
@@ -170,5 +173,5 @@ def assign(docs: DataFrame, shards: int = 24, doc_id: str = "doc_id", text: str
     shard = sum(((F.col("digest") >= cut).cast("int") for cut in cuts), F.lit(len(alone)))
     for k, digest in enumerate(alone):
         shard = F.when(F.col("digest") == digest, k).otherwise(shard)
-    placed = slots(rows.withColumn("shard", shard), "shard", F.xxhash64("doc_id", "digest"), [F.col("doc_id"), F.col("digest")])
+    placed = slots(rows.withColumn("shard", shard), "shard", shards, F.xxhash64("doc_id", "digest"), [F.col("doc_id"), F.col("digest")])
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

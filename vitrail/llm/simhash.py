@@ -10,13 +10,15 @@ they are compared bit-sliced: one plane of bits for each fingerprint bit, 64 fin
 one distance in the sorted order are compared at once by shifting the planes; differing bits are added into vertical
 counters with carry-save steps, and the comparison is abandoned as soon as every lane exceeds the radius.
 A band shared by more than RUN fingerprints is divided by a second band of the remaining bits (which must agree again
-somewhere), then into chunks of which each pair meets in a task of its own: no bucket is capped and none is gathered.
+somewhere), a larger cell by a third, and what is larger still into chunks of which each pair meets in a task of its own: no bucket is
+capped and none is gathered.
 A run gives the links of a spanning forest, not all pairs. Components follow from alternating star contraction over the
-links, with every round written to the shared folder; links and components stay on the executors.
+links, until nothing changes, with every round written to the shared folder; links and components stay on the executors.
 
 Defined results: a null text counts as empty; a text of fewer words than a shingle is one shingle of all its words; a text
 without words has fingerprint zero and links like any other. Repeated rows share a component. A null doc_id is never
-the smallest of a component that has another. Extra columns are ignored by `components` and kept by `drop_near_copies`.
+the smallest of a component that has another. Extra columns are ignored by `components` and kept by `drop_near_copies`; of rows alike
+in doc_id it keeps the largest by the hash of the row's JSON, whatever the order of arrival. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,16 +32,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitrail.llm.bpe import map_texts
-from vitrail.llm.common import attach_groups, fresh, materialize
+from vitrail.llm.common import attach_groups, broadcast_in_slices, fresh, materialize
+from vitrail.session import remove, shared_path
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 SEED = 42
 #: Fingerprints of one band value that are compared in one go; larger buckets are divided.
 RUN = 2048
-#: Distances in the sorted order after which rows are regrouped.
+#: Distances in the sorted order that are compared in one go; then rows are regrouped.
 REGROUP = 16
-#: Fingerprints of groups (with the group's id) that may be broadcast; more are joined.
-BROADCAST_PRINTS = 2_000_000
+#: Bands by which a bucket larger than RUN is divided, before it is cut into chunks.
+DEPTH = 3
+#: Fingerprints of groups (with the group's id) that are broadcast at once.
+BROADCAST_PRINTS = 4_000_000
 #: The bits of each byte value, most significant first.
 BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
@@ -73,11 +78,12 @@ def with_fingerprints(docs: DataFrame, text: str = "text", out: str = "fp", shin
 
 
 def planes_of(prints: np.ndarray) -> np.ndarray:
-    """Bit planes, 64 rows of words: lane k of a plane is the bit of fingerprint k."""
-    n = -(-len(prints) // 64) * 64
-    padded = np.zeros(n, np.uint64)
-    padded[: len(prints)] = prints
-    bits = np.unpackbits(padded.view(np.uint8).reshape(n, 8), axis=1, bitorder="little")
+    """Bit planes, a row of words for each bit: lane k of a plane is the bit of fingerprint k (of one word, or of a row of words)."""
+    words = prints.reshape(len(prints), -1)
+    n = -(-len(words) // 64) * 64
+    padded = np.zeros((n, words.shape[1]), np.uint64)
+    padded[: len(words)] = words
+    bits = np.unpackbits(padded.view(np.uint8), axis=1, bitorder="little")
     return np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view(np.uint64)
 
 
@@ -94,39 +100,53 @@ def _shifted(planes: np.ndarray, by: int) -> np.ndarray:
 
 
 def within(planes: np.ndarray, other: np.ndarray, alive: np.ndarray, radius: int) -> np.ndarray:
-    """Lanes of `alive` whose two fingerprints differ in `radius` bits or fewer (radius below 8).
+    """Lanes of `alive` whose two fingerprints differ in `radius` bits or fewer.
 
-    Three counter planes and an overflow plane count the differing bits of each lane; a full adder takes two planes
-    of differences with the lowest counter. Blocks of planes end when no lane is left.
+    As many counter planes as the radius has digits, and an overflow plane, count the differing bits of each lane; a full
+    adder takes two planes of differences with the lowest counter, and carries ripple up. Blocks of planes end when no lane is left.
     """
-    ones, twos, fours, over = (np.zeros_like(alive) for _ in range(4))
-    for k in range(0, 64, 2):
+    counters = [np.zeros_like(alive) for _ in range(radius.bit_length())]
+    over, left, block = np.zeros_like(alive), alive, max(8, len(planes) // 8)
+    for k in range(0, len(planes), 2):
         a, b = planes[k] ^ other[k], planes[k + 1] ^ other[k + 1]
         half = a ^ b
-        carry = (a & b) | (half & ones)
-        ones ^= half
-        carry, twos = carry & twos, carry ^ twos
-        carry, fours = carry & fours, carry ^ fours
+        carry = (a & b) | (half & counters[0])
+        counters[0] ^= half
+        for c in counters[1:]:
+            c ^= carry
+            carry &= ~c  # a counter that a carry turned off carries on
         over |= carry
-        if k % 8 == 6:
-            left = alive & ~(over | _exceeds(ones, twos, fours, radius))
+        if k % block == block - 2:
+            left = alive & ~(over | _exceeds(counters, radius))
             if not left.any():
-                return left
-    return alive & ~(over | _exceeds(ones, twos, fours, radius))
+                break
+    return left
 
 
-def _exceeds(ones: np.ndarray, twos: np.ndarray, fours: np.ndarray, radius: int) -> np.ndarray:
-    """Lanes whose three-bit count is larger than the radius."""
-    more, same = np.zeros_like(ones), ~np.zeros_like(ones)
-    for plane, bit in ((fours, 4), (twos, 2), (ones, 1)):
-        if radius & bit:
-            same &= plane
+def _exceeds(counters: list[np.ndarray], radius: int) -> np.ndarray:
+    """Lanes whose count is larger than the radius, compared from the highest digit."""
+    more, same = np.zeros_like(counters[0]), ~np.zeros_like(counters[0])
+    for k in reversed(range(len(counters))):
+        if radius >> k & 1:
+            same &= counters[k]
         else:
-            more |= same & plane
-            same &= ~plane
+            more |= same & counters[k]
+            same &= ~counters[k]
     return more
 
 
+def lanes(on: np.ndarray) -> np.ndarray:
+    """Truth values as a plane of lanes."""
+    padded = np.zeros(-(-len(on) // 64) * 64, np.uint8)
+    padded[: len(on)] = on
+    return np.packbits(padded, bitorder="little").view(np.uint64)
+
+
+def set_lanes(plane: np.ndarray) -> np.ndarray:
+    """Numbers of the lanes that are set."""
+    return np.flatnonzero(np.unpackbits(plane.view(np.uint8), bitorder="little"))
+
+
 def _settle(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, list[int]]:
     """Join the labels of pairs; also says which pairs joined what was apart."""
     up, kept = {}, []
@@ -149,63 +169,83 @@ def _settle(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray
     return label, kept
 
 
-def links_of_runs(keys: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links among fingerprints with the same key; rows are sorted by key.
+def pairs_in_runs(keys: np.ndarray, prints: np.ndarray, radius: int, label: np.ndarray, sizes: np.ndarray | None = None, share: float = 0.0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs (a, b) of rows with one key, different labels and near fingerprints; rows are sorted by key.
 
-    Rows `apart` places from one another are compared all at once. Runs that are shorter, or linked throughout, drop out.
+    All rows at one distance from one another are compared at once, REGROUP distances in one go. Whoever takes the pairs may change the labels in place;
+    runs that are shorter, or of one label throughout, drop out. Of given sizes, the smaller must have that share of the larger.
     """
     if not len(keys):
-        return prints[:0], prints[:0]
+        return
     begins = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     length = np.diff(np.concatenate([begins, [len(keys)]]))
     room = np.repeat(begins + length, length) - np.arange(len(keys))  # rows from here to the run's end
-    label, a_out, b_out, apart = np.arange(len(keys)), [], [], 1
+    apart = 1
     while True:
         open_run = (length > apart) & (np.minimum.reduceat(label, begins) != np.maximum.reduceat(label, begins))
         at = np.flatnonzero(np.repeat(open_run, length))  # runs stay whole, so places in them stay consecutive
         if not len(at):
-            break
+            return
         planes = planes_of(prints[at])
-        for apart in range(apart, apart + REGROUP):
-            live = np.zeros(planes.shape[1] * 64, np.uint8)
-            live[: len(at)] = room[at] > apart
-            if not live.any():
-                break
-            hit = within(planes, _shifted(planes, apart), np.packbits(live, bitorder="little").view(np.uint64), radius)
-            if hit.any():
-                k = np.flatnonzero(np.unpackbits(hit.view(np.uint8), bitorder="little"))
-                a, b = at[k], at[k] + apart
-                new = label[a] != label[b]
-                a, b = a[new], b[new]
-                label, kept = _settle(label, a, b)
-                a_out.append(a[kept])
-                b_out.append(b[kept])
-        apart += 1
-    none = np.zeros(0, np.int64)
-    return prints[np.concatenate([none, *a_out])], prints[np.concatenate([none, *b_out])]
-
-
-def _band(start: int, width: int):
-    """Bits [start, start + width) of the fingerprint column."""
-    return F.shiftrightunsigned(F.col("fp"), start).bitwiseAND(F.lit((1 << width) - 1))
-
-
-def _bands(low: int, high: int, parts: int) -> list[tuple[int, int]]:
-    """[low, high) in `parts` bands of nearly equal width: (start, width)."""
-    at = [low + (high - low) * k // parts for k in range(parts + 1)]
-    return [(a, b - a) for a, b in zip(at, at[1:])]
-
-
-def _second_band(first: tuple[int, int], radius: int) -> list:
-    """Bands of the bits outside `first`, as column expressions: they too must agree in one."""
-    rest = [(0, first[0]), (first[0] + first[1], 64)]
-    bits = [b for a, c in rest for b in range(a, c)]
-    out = []
-    for k in range(radius + 1):
-        own = bits[len(bits) * k // (radius + 1) : len(bits) * (k + 1) // (radius + 1)]
-        mask = sum(1 << b for b in own)
-        out.append(F.col("fp").bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask)))
-    return out
+        steps = np.arange(apart, apart + REGROUP)
+        other = np.minimum(at + steps[:, None], len(keys) - 1)
+        live = (room[at] > steps[:, None]) & (label[at] != label[other])
+        if sizes is not None:
+            live &= np.minimum(sizes[at], sizes[other]) >= share * np.maximum(sizes[at], sizes[other])
+        if live.any():
+            shifted = np.stack([_shifted(planes, k) for k in steps.tolist()], axis=1)
+            hit = within(planes[:, None], shifted, np.stack([lanes(x) for x in live]), radius)
+            for k, own in zip(steps.tolist(), hit):
+                if own.any():
+                    a = set_lanes(own)
+                    new = label[at[a]] != label[at[a] + k]
+                    if new.any():
+                        yield at[a][new], at[a][new] + k
+        apart += REGROUP
+
+
+def links_of_runs(keys: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links among fingerprints with the same key; rows are sorted by key."""
+    label, a_out, b_out = np.arange(len(keys)), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for a, b in pairs_in_runs(keys, prints, radius, label):
+        label[:], kept = _settle(label, a, b)
+        a_out.append(a[kept])
+        b_out.append(b[kept])
+    return prints[np.concatenate(a_out)], prints[np.concatenate(b_out)]
+
+
+def whole_runs(batches: Iterator[pa.RecordBatch], least: int = 100_000) -> Iterator[list[np.ndarray]]:
+    """Columns of consecutive batches sorted by their first column, cut between its values, of about `least` rows each."""
+    kept: list[np.ndarray] = []
+    for batch in batches:
+        own = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        kept = [np.concatenate(x) for x in zip(kept, own)] if kept else own
+        if len(kept[0]) >= least:
+            whole = int(np.searchsorted(kept[0], kept[0][-1]))  # the last key may go on in the next batch
+            yield [x[:whole] for x in kept]
+            kept = [x[whole:] for x in kept]
+    if kept:
+        yield kept
+
+
+def in_chunks(rows: DataFrame, key: str, node: str, size: str, run: int) -> DataFrame:
+    """Rows of buckets (column `size`) larger than `run` cut into chunks: each pair of a bucket's chunks meets under a key of its own."""
+    chunks = F.when(F.col(size) > run, F.ceil(F.col(size) / F.lit(max(1, run // 2)))).otherwise(F.lit(1)).cast("int")
+    cut = rows.withColumn("_chunks", chunks).withColumn("_own", F.pmod(F.xxhash64(node), F.col("_chunks")).cast("int"))
+    cut = cut.withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))
+    split = F.when(F.col("_chunks") > 1, F.xxhash64(key, F.least("_own", "_with"), F.greatest("_own", "_with"))).otherwise(F.col(key))
+    return cut.withColumn(key, split).drop("_chunks", "_own", "_with")
+
+
+def _masks(parts: int, depth: int) -> list[list[int]]:
+    """For each way to choose a band at every level before, the masks of the bands that the remaining bits are cut into."""
+    free = [list(range(64))]
+    for level in range(depth + 1):
+        cut = [[bits[len(bits) * k // parts : len(bits) * (k + 1) // parts] for k in range(parts)] for bits in free]
+        if level < depth:
+            free = [sorted(set(bits) - set(band)) for bits, bands in zip(free, cut) for band in bands]
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    return [[signed(sum(1 << b for b in band)) for band in bands] for bands in cut]
 
 
 def links(prints: DataFrame, radius: int = 3, run: int = RUN) -> DataFrame:
@@ -215,68 +255,59 @@ def links(prints: DataFrame, radius: int = 3, run: int = RUN) -> DataFrame:
     """
     if not 0 < radius < 8:
         raise ValueError("radius must lie between 1 and 7")
-    bands = _bands(0, 64, radius + 1)
-    keyed = materialize(prints.select("fp", F.posexplode(F.array(*(_band(*b) for b in bands))).alias("band", "value")), "simhash-bands")
-    sizes = keyed.groupBy("band", "value").count().where(F.col("count") > 1)
-    busy = materialize(sizes.where(F.col("count") > run).select("band", "value"), "simhash-busy")
-    small = keyed.join(busy, ["band", "value"], "left_anti").select("fp", F.xxhash64("band", "value").alias("key"))
-    # a value with more fingerprints than a run: a second band must agree as well
-    large = keyed.join(busy, ["band", "value"], "left_semi")
-    chosen = F.element_at(F.array(*(F.array(*_second_band(b, radius)) for b in bands)), F.col("band") + 1)
-    finer = materialize(large.select("fp", "band", "value", F.posexplode(chosen).alias("second", "rest")), "simhash-second")
-    cell = ["band", "value", "second", "rest"]
-    cells = finer.groupBy(*cell).agg(F.count("*").alias("n")).where("n > 1")
-    chunks = cells.withColumn("chunks", F.ceil(F.col("n") / F.lit(max(1, run // 2))).cast("int"))
-    met = finer.join(chunks, cell)
-    # each pair of a cell's chunks meets once: a fingerprint goes to every pair that its chunk is in
-    own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
-    met = met.withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    paired = met.select("fp", F.xxhash64(*cell, F.least("own", "with"), F.greatest("own", "with")).alias("key"))
+    parts = radius + 1
+    cells = prints.select("fp", F.lit(0).cast("bigint").alias("key"), F.lit(0).alias("way"))
+    ready: list[DataFrame] = []
+    for level in range(DEPTH):
+        table = F.array(*(F.array(*(F.lit(m).cast("bigint") for m in masks)) for masks in _masks(parts, level)))
+        bands = F.transform(F.element_at(table, F.col("way") + 1), lambda m: F.col("fp").bitwiseAND(m))
+        split = cells.select("fp", "key", "way", F.posexplode(bands).alias("band", "value"))
+        keyed = materialize(split.select("fp", F.xxhash64("key", "band", "value").alias("key"), (F.col("way") * parts + F.col("band")).alias("way")), f"simhash-bands-{level}")
+        sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+        busy = materialize(sizes.where(F.col("n") > run), f"simhash-busy-{level}")
+        ready.append(keyed.join(busy, "key", "left_anti").select("fp", "key"))
+        if busy.isEmpty():
+            break
+        cells = keyed.join(busy.select("key"), "key", "left_semi")
+    else:
+        ready.append(in_chunks(keyed.join(busy, "key"), "key", "fp", "n", run).select("fp", "key"))
+    rows = ready[0]
+    for more in ready[1:]:
+        rows = rows.unionByName(more)
 
     def run_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept_k, kept_f = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        for batch in batches:
-            kept_k = np.concatenate([kept_k, batch.column(0).to_numpy()])
-            kept_f = np.concatenate([kept_f, batch.column(1).to_numpy().view(np.uint64)])
-            if len(kept_k) < 100_000:
-                continue
-            whole = int(np.searchsorted(kept_k, kept_k[-1]))  # the last key may go on in the next batch
-            yield _as_batch(links_of_runs(kept_k[:whole], kept_f[:whole], radius))
-            kept_k, kept_f = kept_k[whole:], kept_f[whole:]
-        yield _as_batch(links_of_runs(kept_k, kept_f, radius))
+        for keys, fps in whole_runs(batches):
+            yield _as_batch(links_of_runs(keys, fps.view(np.uint64), radius))
 
-    rows = small.unionByName(paired).repartition("key").sortWithinPartitions("key", "fp").select("key", "fp")
-    return rows.mapInArrow(run_links, "a bigint, b bigint")
+    return rows.repartition("key").sortWithinPartitions("key", "fp").select("key", "fp").mapInArrow(run_links, "a bigint, b bigint")
 
 
 def _as_batch(pair: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in pair], names=["a", "b"])
 
 
-def connect(pairs: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connect(pairs: DataFrame) -> DataFrame:
     """Components of links (a, b): one row (node, root) per linked node, root the smallest node of its component.
 
     Large-star and small-star contraction in turn: each round joins nodes with the smallest neighbour, which partial sums
-    find before any shuffle, and a hub's rows are split by the skew join.
+    find before any shuffle, and a hub's rows are split by the skew join. Rounds go on until a round changes nothing; a
+    round's tables are removed when the next one is written.
     """
-    now = materialize(pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "star-0")
-    before = None
-    for k in range(1, max_rounds + 1):
+    spark = pairs.sparkSession
+    now = pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    state = before = last = None
+    while state is None or state != before:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         # a link (a, b) with b > a goes to (b, m); what points at itself says nothing
-        large = materialize(large.where("a <> b").distinct(), f"star-{k}-large")
+        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        met = large.join(low, "a")
-        small = met.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-        now = materialize(small.where("a <> b").distinct(), f"star-{k}-small")
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before:
-            break
-        before = state
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
+        path = shared_path(spark, "star")
+        now = materialize(small.where("a <> b").distinct(), "star", path)
+        if last:
+            remove(spark, last)
+        before, last, state = state, path, tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
 
@@ -302,19 +333,23 @@ def components(docs: DataFrame, radius: int = 3, shingle: int = 3, doc_id: str =
     return met.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first").alias("component_id"))
 
 
-def drop_near_copies(docs: DataFrame, radius: int = 3, shingle: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def drop_near_copies(docs: DataFrame, radius: int = 3, shingle: int = 3, doc_id: str = "doc_id", text: str = "text", most_prints: int = BROADCAST_PRINTS) -> DataFrame:
     """One document of each component (the smallest doc_id; a null one loses), in the documents' own columns.
 
     Documents alone in their component pass where they are; the others meet whole, one for each component and task.
     """
-    fp, first, row, many = fresh(docs, "fp", "first", "row", "many")
+    fp, first = fresh(docs, "fp", "first")
     keyed = materialize(with_fingerprints(docs, text, fp, shingle), "simhash-documents")
     prints = keyed.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(fp).alias("fp"))
     firsts = components_of(prints, radius, "doc_id")
     groups = firsts.where(F.col("of") > 1).select(F.col("fp").alias(fp), F.struct("first").alias(first))
-    if groups.count() <= BROADCAST_PRINTS:
-        groups = F.broadcast(groups)
-    marked = keyed.join(groups, fp, "left").withColumn(many, F.col(first).isNotNull())
-    best = F.max_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), F.coalesce(-F.col(doc_id).cast("bigint"), F.lit(-(2**63))))
-    kept = marked.where(F.col(many)).groupBy(first).agg(best.alias(row)).select(f"{row}.*")
-    return marked.where(~F.col(many)).select(docs.columns).unionByName(kept)
+    marked = broadcast_in_slices(keyed, groups, fp, most_prints)
+    return one_of_each(marked, docs.columns, first, doc_id)
+
+
+def one_of_each(marked: DataFrame, columns: list[str], group: str, doc_id: str) -> DataFrame:
+    """Rows without a group as they are, and of each group the row with the smallest doc_id (a null one loses; ties: by the row's JSON)."""
+    whole = F.struct(*(F.col(f"`{c}`") for c in columns))
+    best = F.max_by(whole, F.struct(F.coalesce(-F.col(doc_id).cast("bigint"), F.lit(-(2**63))), F.xxhash64(F.to_json(whole))))
+    kept = marked.where(F.col(group).isNotNull()).groupBy(group).agg(best.alias("_row")).select("_row.*")
+    return marked.where(F.col(group).isNull()).select(columns).unionByName(kept)

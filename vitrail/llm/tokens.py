@@ -1,17 +1,18 @@
 """Token counts by offset-mapped attribution.
 
-A document is encoded whole, once, and its tokens' spans are joined with the spans of its sections: fields of a record laid
-end to end, or a text's lines. A token that crosses a border goes where the rule says:
+A document is encoded whole, once, and its tokens' character spans are interval-joined with the spans of its sections: fields of a record
+laid end to end, or a text's lines. A character that is split between tokens belongs to each of them. A token that crosses a border
+goes where the rule says:
 
-* start: to the section with its first byte;
-* end: to the section with its last byte;
-* most: to the section that holds most of its bytes, the earlier one if equal.
+* start: to the section with its first character;
+* end: to the section with its last character;
+* most: to the section that holds most of its characters, the earlier one if equal.
 
 So the counts of a document's sections add up to the count of its tokens, whatever the rule.
 
 Defined results: a null text (or field) counts as empty. Sections without tokens count 0; an empty text is one section
 without tokens. A section's line end belongs to it. Repeated rows are counted each for itself. An empty table gives no
-rows. Texts of any length are encoded whole. Extra columns are ignored.
+rows; a list of no fields is refused. Texts of any length are encoded whole. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,43 +24,48 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrail.llm.bpe import char_bounds, codec, map_texts
+from vitrail.llm.bpe import Codec, char_bounds, codec, map_texts
+from vitrail.llm.common import short_batches
 
 RULES = ("start", "end", "most")
 
 
-def attribute(token_ends: np.ndarray, section_ends: np.ndarray, rule: str = "start") -> np.ndarray:
-    """Tokens of each section, from the ends of the tokens' and the sections' spans; both cover the text without gaps.
+def attribute(first: np.ndarray, last: np.ndarray, section_ends: np.ndarray, rule: str = "start") -> np.ndarray:
+    """Tokens of each section, from the tokens' spans [first, last) and the ends of the sections, which cover the text without gaps.
 
-    token_ends may repeat (tokens without characters of their own), and so may section_ends (empty sections).
+    section_ends may repeat (empty sections).
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
     sections = len(section_ends)
-    if not len(token_ends):
+    if not len(first):
         return np.zeros(sections, np.int64)
-    starts = np.concatenate([[0], token_ends[:-1]])
-    # the section that holds byte b is the first whose end lies behind b
-    holds = lambda b: np.minimum(np.searchsorted(section_ends, b, side="right"), sections - 1)
-    first, last = holds(starts), holds(np.maximum(token_ends - 1, starts))
+    # the section that holds character c is the first whose end lies behind c
+    holds = lambda c: np.minimum(np.searchsorted(section_ends, c, side="right"), sections - 1)
     if rule == "start":
-        own = first
+        own = holds(first)
     elif rule == "end":
-        own = last
+        own = holds(np.maximum(last - 1, first))
     else:
-        own = first.copy()
+        own, end = holds(first), holds(np.maximum(last - 1, first))
         begins = np.concatenate([[0], section_ends[:-1]])
-        for k in np.flatnonzero(first != last):
-            at = np.arange(first[k], last[k] + 1)
-            shared = np.minimum(section_ends[at], token_ends[k]) - np.maximum(begins[at], starts[k])
+        for k in np.flatnonzero(own != end):
+            at = np.arange(own[k], end[k] + 1)
+            shared = np.minimum(section_ends[at], last[k]) - np.maximum(begins[at], first[k])
             own[k] = at[int(shared.argmax())]
     return np.bincount(own, minlength=sections)
 
 
-def line_ends(raw: bytes) -> np.ndarray:
-    """Bytes behind each line of a text; each line holds its line end."""
-    ends = np.flatnonzero(np.frombuffer(raw, np.uint8) == 10) + 1
-    return ends if len(ends) and ends[-1] == len(raw) else np.append(ends, len(raw))
+def line_ends(text: str) -> np.ndarray:
+    """Characters up to each line's end; each line holds its line end."""
+    sizes = [len(x) + 1 for x in text.split("\n")]
+    sizes[-1] -= 1
+    return np.cumsum(sizes if sizes[-1] or len(sizes) == 1 else sizes[:-1])
+
+
+def spans(own: Codec, text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Character spans [first, last) of the tokens of a whole text."""
+    return char_bounds(text.encode(), own.byte_ends(np.frombuffer(own.encode(text), "<u4")))
 
 
 def by_line(docs: DataFrame, path: str, pattern: str | None = None, rule: str = "start", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -71,11 +77,9 @@ def by_line(docs: DataFrame, path: str, pattern: str | None = None, rule: str =
         def work(texts: list[str]) -> dict:
             columns: list[list[np.ndarray]] = [[], [], []]
             for t in texts:
-                raw = t.encode()
-                ends = line_ends(raw)
-                tokens = attribute(own.byte_ends(np.frombuffer(own.encode(t), "<u4")), ends, rule)
-                first, last = char_bounds(raw, ends) if len(raw) else (np.zeros(1), np.zeros(1))
-                for c, v in zip(columns, (first, last - first, tokens)):
+                ends = line_ends(t)
+                begins = np.concatenate([[0], ends[:-1]])
+                for c, v in zip(columns, (begins, ends - begins, attribute(*spans(own, t), ends, rule))):
                     c.append(v)
             flat = [pa.array(np.concatenate(c).astype(np.int64) if c else np.zeros(0, np.int64)) for c in columns]
             counts = np.cumsum([0, *map(len, columns[0])])
@@ -95,19 +99,21 @@ def by_field(docs: DataFrame, fields: list[str], path: str, pattern: str | None
     The fields are laid end to end with `between` behind each but the last (it counts to the field before) and encoded as
     one text, as a model would see them.
     """
-    whole = F.concat_ws(between, *(F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields))
-    sizes = F.array(*(F.octet_length(F.coalesce(F.col(f).cast("string"), F.lit(""))) for f in fields))
-    narrow = docs.select(F.col(doc_id).alias("doc_id"), whole.alias("text"), sizes.alias("sizes"))
-    gap = len(between.encode())
+    if not fields:
+        raise ValueError("name one field at least")
+    short_batches(docs.sparkSession)
+    said = lambda f: F.coalesce(F.col(f).cast("string"), F.lit(""))
+    sizes = F.array(*(F.char_length(said(f)) for f in fields))
+    narrow = docs.select(F.col(doc_id).alias("doc_id"), F.concat_ws(between, *map(said, fields)).alias("text"), sizes.alias("sizes"))
 
     def run(batches):
         own = codec(path, pattern)
         for batch in batches:
             counts = []
             for t, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                ends = np.cumsum([x + gap for x in s])
-                ends[-1] -= gap
-                counts.append(attribute(own.byte_ends(np.frombuffer(own.encode(t), "<u4")), ends, rule).tolist())
+                ends = np.cumsum([x + len(between) for x in s])
+                ends[-1] -= len(between)
+                counts.append(attribute(*spans(own, t), ends, rule).tolist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.list_(pa.int64()))], names=["doc_id", "counts"])
 
     kind = narrow.schema["doc_id"].dataType.simpleString()

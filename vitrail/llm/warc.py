@@ -2,41 +2,53 @@
 
 Writing: each page becomes a record in the WARC/1.1 format. Of records with equal payloads of at least `revisit_from` bytes the one with the
 smallest page_id carries the payload (response), the others point to it (revisit). Records are made by DataFrame
-functions and written by Spark's text sink: two line ends close a record, so they are the sink's separator.
+functions and written by Spark's text sink: two line ends close a record, so they are the sink's separator. Files are rolled by
+bytes: records are written class by class of their size, with as many to a file as keep it below FILE_BYTES. Digests that several
+records share are broadcast, in slices where there are many, so that no payload moves.
 
-Reading: archives are read as whole files of a bounded number of records and cut by Content-Length. Each file
-gives one run: its captures sorted by URL key and timestamp. Runs are dealt to ranges of the key (with timestamp and id, so
-that one host or URL may hold any share of the captures), and in each range a loser tree merges the runs: the
-ranges one after another are the globally ordered capture histories.
+Reading: archives are read as whole files and cut by Content-Length. The files of a task give one run: their captures sorted by URL key
+and timestamp, kept as blocks of BLOCK captures. Splitters, drawn from a sample of the blocks' first captures, divide the order into ranges
+(by key, timestamp, id and place, so that one host or URL may hold any share of the captures), and blocks are cut at them. In each range
+the blocks come in the order of their first captures, and a loser tree merges the runs from them: a block is taken in when the merge
+reaches its first capture and dropped when it is used up, so that one block of each run is held at most. The ranges one after another are
+the globally ordered capture histories.
 
 Defined results: a null payload counts as empty; a null or empty URL has an empty key and sorts first; control characters in a
 URL are percent-encoded; a null page_id is written as null, is always a response and is never referred to. Rows that
-repeat a page_id with the same payload are each written, as responses if that id is the smallest. Payloads of any
-length are written and read whole. An empty table gives no records. Extra columns are ignored.
+repeat a page_id with the same payload are each written, as responses if that id is the smallest. Payloads of any length that a
+row can hold are written and read whole. An empty table gives no records. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrail.llm.common import materialize
+from vitrail.llm.common import broadcast_in_slices, materialize
 from vitrail.session import shared_path
 
 END = "\r\n"
 CLOSE = END + END
-#: Records of one archive file; a file is read whole by one task.
+#: Bytes and records of one archive file, at most (a longer record is a file of its own); a file is read whole by one task.
+FILE_BYTES = 64 << 20
 FILE_RECORDS = 2_000
-#: Captures merged by one task, about.
+#: Sizes of payloads, a record's other lines left out, up to which records are written together.
+CLASSES = (FILE_BYTES // FILE_RECORDS, FILE_BYTES // 64, FILE_BYTES // 4, 1 << 31)
+#: Captures of one block of a run, and blocks of one Arrow batch.
+BLOCK = 1_000
+ARROW_BLOCKS = 16
+#: Captures merged by one task, about, and first captures of blocks that splitters are drawn from, for each range.
 RANGE_ROWS = 250_000
+SAMPLES = 20
 REVISIT_FROM = 100
-#: Digests of shared payloads that may be broadcast; more are joined by shuffling.
-BROADCAST_DIGESTS = 500_000
+#: Digests of shared payloads that are broadcast at once.
+BROADCAST_DIGESTS = 1_000_000
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _ID = "urn:vitrail:page:"
 
@@ -46,19 +58,25 @@ def _header(name: str, value: Column) -> Column:
     return F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit(END)), F.lit(""))
 
 
-def records(pages: DataFrame, page_id: str = "page_id", url: str = "url", payload: str = "html", first_date: str = "2024-01-01 00:00:00", revisit_from: int = REVISIT_FROM) -> DataFrame:
-    """Each page's WARC record as text, without the line ends that close it.
+def _rows(pages: DataFrame, page_id: str, url: str, payload: str) -> DataFrame:
+    body = F.coalesce(F.col(payload), F.lit(""))
+    return pages.select(F.col(page_id).cast("bigint").alias("id"), F.col(url).alias("url"), body.alias("body"), F.octet_length(body).alias("bytes"), F.sha2(body, 256).alias("digest"))
+
+
+def shared_digests(keys: DataFrame, revisit_from: int = REVISIT_FROM) -> DataFrame:
+    """Digests (binary) of payloads that several records share, with the smallest page_id: digest, first. keys: id, bytes, digest."""
+    long = keys.where((F.col("bytes") >= revisit_from) & F.col("id").isNotNull())
+    groups = long.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    return groups.select(F.unhex("digest").alias("key"), "first")
+
+
+def records(own: DataFrame, shared: DataFrame, first_date: str = "2024-01-01 00:00:00", revisit_from: int = REVISIT_FROM, most_digests: int = BROADCAST_DIGESTS) -> DataFrame:
+    """Each page's WARC record as text, without the line ends that close it. own: id, url, body, bytes, digest; shared: of `shared_digests`.
 
     A capture's date is `first_date` plus page_id seconds: the table has no dates of its own.
     """
-    body = F.coalesce(F.col(payload), F.lit(""))
-    own = pages.select(F.col(page_id).cast("bigint").alias("id"), F.col(url).alias("url"), body.alias("body"), F.octet_length(body).alias("bytes"), F.sha2(body, 256).alias("digest"))
-    keys = materialize(own.select("id", "bytes", "digest"), "warc-digests")
-    shared = keys.where((F.col("bytes") >= revisit_from) & F.col("id").isNotNull()).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    shared = materialize(shared.select("digest", "first"), "warc-shared")
-    if shared.count() <= BROADCAST_DIGESTS:
-        shared = F.broadcast(shared)
-    marked = own.join(shared, "digest", "left").withColumn("again", F.coalesce((F.col("bytes") >= revisit_from) & (F.col("id") > F.col("first")), F.lit(False)))
+    keyed = own.withColumn("key", F.when(F.col("bytes") >= revisit_from, F.unhex("digest")))
+    marked = broadcast_in_slices(keyed, shared, "key", most_digests).withColumn("again", F.coalesce(F.col("id") > F.col("first"), F.lit(False)))
     name = lambda c: F.concat(F.lit(f"<{_ID}"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
     safe = F.regexp_replace(F.regexp_replace(F.col("url"), "[\r\n]", "%0A"), r"[\x00-\x20\x7F]", "%20")
     date = F.date_format(F.timestamp_seconds(F.unix_timestamp(F.lit(first_date).cast("timestamp")) + F.coalesce(F.col("id"), F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
@@ -83,9 +101,19 @@ def records(pages: DataFrame, page_id: str = "page_id", url: str = "url", payloa
     )
 
 
-def write(pages: DataFrame, path: str, file_records: int = FILE_RECORDS, **how) -> None:
+def write(
+    pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", payload: str = "html", revisit_from: int = REVISIT_FROM,
+    file_records: int = FILE_RECORDS, classes: tuple[int, ...] = CLASSES, **how,
+) -> None:
     """Write the pages' records as archive files below `path`."""
-    records(pages, **how).write.option("lineSep", CLOSE).option("maxRecordsPerFile", file_records).text(path)
+    own = _rows(pages, page_id, url, payload)
+    keys = materialize(own.select("id", "bytes", "digest"), "warc-digests")
+    shared = materialize(shared_digests(keys, revisit_from), "warc-shared")
+    kind = sum(((F.col("bytes") > most).cast("int") for most in classes[:-1]), F.lit(0))
+    for k in sorted(r[0] for r in keys.groupBy(kind.alias("kind")).count().collect()) or [0]:  # a row for each class
+        most = max(1, min(file_records, FILE_BYTES // classes[k]))
+        made = records(own.where(kind == k), shared, revisit_from=revisit_from, **how)
+        made.write.mode("append").option("lineSep", CLOSE).option("maxRecordsPerFile", most).text(path)
 
 
 def cut(content: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
@@ -187,54 +215,116 @@ class LoserTree:
             self.top = at
 
 
+class BlockMerge:
+    """Merge sorted runs that come as blocks in the order of their first rows: one block of each run is held at most."""
+
+    def __init__(self, key: Callable):
+        self.key, self.open = key, {}
+        self.held = 0
+
+    def take(self, run: str, rows: list[tuple]) -> Iterator[tuple]:
+        """Rows that come before the new block's first one; then the block is taken in."""
+        first = self.key(rows[0])
+        yield from self._until(first)
+        self.open[run] = rows[::-1]  # the block before it is used up: its rows come before this one's
+        self.held = max(self.held, len(self.open))
+
+    def rest(self) -> Iterator[tuple]:
+        yield from self._until(None)
+
+    def _until(self, limit: tuple | None) -> Iterator[tuple]:
+        def head(rows: list[tuple]) -> Iterator[tuple]:
+            while rows and (limit is None or self.key(rows[-1]) < limit):
+                yield rows.pop()
+
+        yield from LoserTree([head(rows) for rows in self.open.values()], self.key)
+        self.open = {run: rows for run, rows in self.open.items() if rows}
+
+
 def _batch(rows: list[tuple], names: dict[str, str]) -> pa.RecordBatch:
     columns = list(zip(*rows)) or [()] * len(names)
     return pa.RecordBatch.from_arrays([pa.array(c, _KINDS[k]) for c, k in zip(columns, names.values())], names=list(names))
 
 
+_CAPTURE = f"struct<{', '.join(f'{k}: {v}' for k, v in FIELDS.items())}>"
+_BLOCKS = f"run string, rows array<{_CAPTURE}>"
+
+
+def _blocks(run: str, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """A sorted run as rows of BLOCK captures each."""
+    kind = pa.list_(pa.struct([(k, _KINDS[v]) for k, v in FIELDS.items()]))
+    for k in range(0, len(rows), BLOCK):
+        own = [dict(zip(FIELDS, r)) for r in rows[k : k + BLOCK]]
+        yield pa.RecordBatch.from_arrays([pa.array([run]), pa.array([own], kind)], names=["run", "rows"])
+
+
 def runs(spark: SparkSession, path: str) -> DataFrame:
-    """The sorted run of every archive file below `path`: the columns of FIELDS, run and place in it."""
-    names = FIELDS | {"run": "string", "place": "bigint"}
+    """The sorted runs of the archive files below `path`, one for the files of a task, as blocks: run, rows."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, name = [], None
         for batch in batches:
             for file, content in zip(batch.column(0), batch.column(1)):
                 file = file.as_py().rsplit("/", 1)[-1]
-                rows = captures(file, content.as_py())
-                for k in range(0, len(rows), 10_000):
-                    yield _batch([(*r, file, k + j) for j, r in enumerate(rows[k : k + 10_000])], names)
+                name = name or file
+                rows += captures(file, content.as_py())
+        yield from _blocks(name, sorted(rows, key=_order))
 
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(key)
     spark.conf.set(key, "1")  # a row is a whole file
     try:
         files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-        return materialize(files.select("path", "content").mapInArrow(parse, ", ".join(f"{k} {v}" for k, v in names.items())), "warc-runs")
+        return materialize(files.select("path", "content").mapInArrow(parse, _BLOCKS), "warc-runs")
     finally:
         spark.conf.set(key, before)
 
 
+def _rows_of(block: pa.StructScalar | pa.ListScalar) -> list[tuple]:
+    return [tuple(r.values()) for r in block.as_py()]
+
+
+def splitters(index_runs: DataFrame, ranges: int) -> list[tuple]:
+    """Captures (as their order) that cut the whole order into about equal ranges, from a sample of the blocks' first captures."""
+    first = index_runs.select(F.get("rows", F.lit(0)).alias("c")).orderBy(F.xxhash64("c")).limit(ranges * SAMPLES)  # SAMPLES for each range at most
+    seen = sorted(_order(tuple(r.c)) for r in first.collect())
+    return sorted({seen[len(seen) * k // ranges] for k in range(1, ranges)}) if len(seen) >= ranges else []
+
+
 def merge(index_runs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """All captures in one order by URL key, timestamp and page_id: partition after partition, each merged from runs."""
-    total = index_runs.count()
-    parts = max(1, -(-total // range_rows), min(int(index_runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // 1000)))
-    dealt = index_runs.repartitionByRange(parts, "url_key", "captured", "page_id", "file", "first_byte").sortWithinPartitions("run", "place")
+    spark = index_runs.sparkSession
+    total = index_runs.agg(F.sum(F.size("rows"))).first()[0] or 0
+    ranges = max(1, -(-total // range_rows), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (4 * BLOCK))))
+    cuts = splitters(index_runs, ranges)
+
+    def divide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for run, block in zip(batch.column(0).to_pylist(), batch.column(1)):
+                rows = _rows_of(block)
+                orders = [_order(r) for r in rows]
+                ends = [0, *(bisect_left(orders, c) for c in cuts), len(rows)]
+                for k, (a, b) in enumerate(zip(ends, ends[1:])):
+                    for made in _blocks(run, rows[a:b]):
+                        yield made.append_column("part", pa.array([k], pa.int32()))
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces: dict[str, list[tuple]] = {}
+        merged, ready = BlockMerge(_order), []
         for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns]
-            for row in zip(*columns):
-                pieces.setdefault(row[len(FIELDS)], []).append(row[: len(FIELDS)])
-        ready: list[tuple] = []
-        for row in LoserTree([iter(x) for x in pieces.values()], _order):
-            ready.append(row)
-            if len(ready) == 10_000:
-                yield _batch(ready, FIELDS)
-                ready = []
-        yield _batch(ready, FIELDS)
-
-    return dealt.mapInArrow(join, SCHEMA)
+            for run, block in zip(batch.column(0).to_pylist(), batch.column(1)):
+                ready += merged.take(run, _rows_of(block))
+                while len(ready) >= 10_000:
+                    yield _batch(ready[:10_000], FIELDS)
+                    ready = ready[10_000:]
+        yield _batch([*ready, *merged.rest()], FIELDS)
+
+    first = F.get("rows", F.lit(0))
+    order = [first["url_key"], first["captured"], first["page_id"].isNotNull(), first["page_id"], first["file"], first["first_byte"]]
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > ARROW_BLOCKS:
+        spark.conf.set(key, str(ARROW_BLOCKS))
+    dealt = index_runs.mapInArrow(divide, f"{_BLOCKS}, part int").repartitionById(len(cuts) + 1, "part").sortWithinPartitions(*order)
+    return dealt.select("run", "rows").mapInArrow(join, SCHEMA)
 
 
 def archive(pages: DataFrame, path: str | None = None, **how) -> DataFrame:
