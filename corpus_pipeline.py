@@ -1,7 +1,10 @@
 """From raw documents to packed sequences: five stages, each one of the operators in vitrail.llm.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last return documents in
-their own columns.
+their own columns, whatever extra columns there are and whatever they are called.
+
+Defined results: a null or empty text has too few words for the base rules and goes there. Repeated rows are copies, of which one stays.
+An empty table gives no rows. Each stage's own cases are stated in its operator's module.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from vitrail.llm import dedup, gam, overlap, packing, rules
 from vitrail.llm.common import load, materialize
+from vitrail.session import interim, remove, shared_path
 
 #: Of the run's rows no stage with a learnt model, XXH64 or a tokenizer can be stated in SQL.
 ORACLE_SQL = None
@@ -34,7 +38,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies: five-word shingles, Jaccard 0.8 or more."""
+    """One document of each component of near copies: SimHash fingerprints of five-word shingles, Jaccard 0.8 or more."""
     return overlap.drop_near_copies(docs)
 
 
@@ -53,8 +57,14 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of `sf_dir`; what a stage returns is written before the next one reads it."""
-    docs = load(spark, sf_dir, "documents")
+    """All stages over the documents of `sf_dir`; what a stage returns is written before the next one reads it, and its own
+    intermediate tables are removed then."""
+    docs, before = load(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        path = shared_path(spark, f"pipeline-{name}")
+        with interim(spark):
+            docs = materialize(stage(spark, docs, sf_dir), name, path)
+        if before:
+            remove(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
