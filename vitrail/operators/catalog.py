@@ -21,17 +21,18 @@ SAMPLE_ERROR = 13
 
 
 def insert_ignore(known: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Known rows and those new ones whose key is not known; of new rows with one key the first by the other columns."""
-    rest = [F.col(c).asc_nulls_first() for c in new.columns if c not in keys]
-    one = new.withColumn("_k", F.row_number().over(W.partitionBy(*keys).orderBy(*(rest or [F.lit(1)])))).where("_k = 1").drop("_k")
+    """Known rows and those new ones whose key is not known; of new rows with one key the first by the other columns (nulls first)."""
+    row = F.struct(*(F.col(c) for c in new.columns if c not in keys))
+    one = new.groupBy(*keys).agg(F.min(row).alias("_r")).select(*keys, "_r.*") if len(new.columns) > len(keys) else new.distinct()
     return known.unionByName(one.join(known.select(*keys), keys, "left_anti"), allowMissingColumns=True)
 
 
 def upsert(known: DataFrame, new: DataFrame, keys: list[str], seq: str) -> DataFrame:
     """The last row of each key by `seq`; new rows go before known ones of the same seq."""
     both = known.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)), allowMissingColumns=True)
-    last = W.partitionBy(*keys).orderBy(F.desc(seq), F.desc("_new"))
-    return both.withColumn("_k", F.row_number().over(last)).where("_k = 1").drop("_k", "_new")
+    rest = [c for c in both.columns if c not in (*keys, "_new")]
+    last = F.max_by(F.struct(*rest), F.struct(seq, "_new")).alias("_r")
+    return both.groupBy(*keys).agg(last).select(*keys, "_r.*")
 
 
 def evolve(df: DataFrame, defaults: dict[str, tuple[str, object]]) -> DataFrame:
@@ -122,21 +123,24 @@ def sample_may_match(query: np.ndarray, known: np.ndarray) -> bool:
 
 
 def match(query: np.ndarray, known: np.ndarray, background: np.ndarray) -> tuple[float, int, float, float] | None:
-    """The best shift of two flattened pictures: (mean error, steps, dx, dy), or nothing."""
-    if abs(query.shape[0] - known.shape[0]) > 1 or abs(query.shape[1] - known.shape[1]) > 1 or query.shape[0] * query.shape[1] < 9:
+    """The best shift of two flattened pictures: (mean error, steps, dx, dy), or nothing.
+
+    All nine shifts by up to a pixel are one array: the query with a missing margin, seen through windows of the known picture's size.
+    """
+    (h, w), (kh, kw) = query.shape[:2], known.shape[:2]
+    if max(abs(h - kh), abs(w - kw)) > 1 or h * w < 9:
         return None
-    best = None
-    for dy, dx, a, b in _windows(query.shape[:2], known.shape[:2]):
-        p, q = query[a], known[b]
-        error = np.abs(p - q).mean(axis=2)
-        fp, fq = (np.linalg.norm(x - background, axis=2) > FOREGROUND for x in (p, q))
-        shared = (fp & fq).sum() / max(1, (fp | fq).sum())
-        if shared < LEAST_OVERLAP or error.mean() > MEAN_ERROR or np.percentile(error, 95) > P95_ERROR:
-            continue
-        found = (float(error.mean()), abs(dx) + abs(dy))
-        if best is None or found < best[:2]:
-            best = (*found, float(dx), float(dy))
-    return best
+    margin = np.pad(query.astype(float), ((1, 3), (1, 3), (0, 0)), constant_values=np.nan)
+    seen = np.lib.stride_tricks.sliding_window_view(margin, (kh, kw), axis=(0, 1))[:3, :3].transpose(0, 1, 3, 4, 2)
+    there = ~np.isnan(seen[..., 0])
+    sizes = there.any(axis=3).sum(axis=2), there.any(axis=2).sum(axis=2)
+    error = np.abs(seen - known).mean(axis=-1)
+    ink = np.linalg.norm(seen - background, axis=-1) > FOREGROUND, there & (np.linalg.norm(known - background, axis=-1) > FOREGROUND)
+    overlap = (ink[0] & ink[1]).sum(axis=(2, 3)) / np.maximum(1, (ink[0] | ink[1]).sum(axis=(2, 3)))
+    mean, tail = np.nanmean(error, axis=(2, 3)), np.nanpercentile(error, 95, axis=(2, 3))
+    good = (sizes[0] >= min(h, kh) - 1) & (sizes[1] >= min(w, kw) - 1) & (overlap >= LEAST_OVERLAP) & (mean <= MEAN_ERROR) & (tail <= P95_ERROR)
+    found = [(float(mean[y, x]), abs(y - 1) + abs(x - 1), x - 1.0, y - 1.0) for y, x in np.argwhere(good).tolist()]
+    return min(found, key=lambda m: m[:2], default=None)
 
 
 GROUP_SCHEMA = "hash string, group_id string, background string, width int, height int, dx double, dy double, match_kind string"
