@@ -35,14 +35,14 @@ def with_roles(nodes: DataFrame, default: str = "custom") -> DataFrame:
     return nodes.join(table, ["provider", "native"], "left").withColumn("role", F.coalesce("role", F.lit(default)))
 
 
-def normalise(nodes: DataFrame, edges: DataFrame, to_pixels: Column, depth: int | None = None, unredacted: bool = False) -> tuple[DataFrame, DataFrame]:
+def normalise(nodes: DataFrame, edges: DataFrame, to_pixels: Column, unredacted: bool = False) -> tuple[DataFrame, DataFrame]:
     """Raw controls to unified ones: (nodes, edges).
 
     Ids become n1, n2, ... in preorder, boxes pixels under the affine map, and a protected control's (or, where that is
     unknown, a possibly protected one's) value and text are dropped. Edges are renamed, those without a captured target dropped.
     nodes: capture, id, parent, depth, ord, x, y, w, h, protected (null: unknown), value, text.
     """
-    numbered = preorder(nodes, depth)
+    numbered = preorder(nodes)
     box = affine_box(Box.of(), to_pixels)
     hidden = F.lit(not unredacted) & F.coalesce("protected", F.lit(True))
     names = numbered.select("capture", F.col("id").alias("_old"), "new_id")

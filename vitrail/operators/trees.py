@@ -1,17 +1,23 @@
 """Control trees as adjacency tables: traversal, visibility, validation, description, outline, display-scale repair.
 
-A node is a row (capture, id, parent, depth, ord, ...). Steps that carry state from parents to children run one join per level,
-at most MAX_DEPTH of them, each on (capture, parent); captures never mix, so any number of them spreads over the cluster.
+A node is a row (capture, id, parent, depth, ord, ...). A capture has MAX_NODES nodes at most, so steps that carry state between parents
+and children bring each capture together once, one exchange whatever the depth, and run on many captures at a time as arrays: a
+level of all of them in one go. What needs neither parents nor children stays a column expression.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from vitrail.functions.geometry import Box, display_scale, overlap
+from vitrail.functions.geometry import SCALES
 from vitrail.functions.text import normalize
+from vitrail.session import ship
 
 #: Limits of a capture's tree.
 MAX_DEPTH = 64
@@ -35,53 +41,139 @@ def role_of(role: Column, control_type: Column) -> Column:
     return F.coalesce(F.when(role != "", role), known, F.lit("custom"))
 
 
-def _levels(nodes: DataFrame, depth: int | None) -> int:
-    """Levels below the root: told, or counted (one narrow job)."""
-    if depth is None:
-        depth = nodes.agg(F.max("depth")).first()[0] or 0
-    if depth > MAX_DEPTH:
-        raise ValueError(f"the tree is deeper than {MAX_DEPTH}")
-    return depth
+#: Nodes that are worked on in one go, about: whole captures.
+ROWS = 50_000
+
+
+def whole_captures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Consecutive batches sorted by capture as tables that hold whole captures."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= ROWS:
+            table = pa.Table.from_batches(held).combine_chunks()
+            cut = pc.index(table["capture"], table["capture"][-1]).as_py()  # the last capture may go on in the next batch
+            if cut:
+                yield table.slice(0, cut)
+            held = table.slice(cut).combine_chunks().to_batches()
+    if held:
+        table = pa.Table.from_batches(held).combine_chunks()
+        if table.num_rows:
+            yield table
+
+
+class Forest:
+    """The trees of several captures as arrays: each node's parent (-1: none), and the rows of each level whose ancestors are all there.
+
+    Rows are sorted by capture, depth, parent, ord and id, so that siblings follow one another in their order.
+    """
+
+    def __init__(self, table: pa.Table):
+        said = table["capture"].cast(pa.string())
+        name = lambda c: pc.binary_join_element_wise(said, table[c].cast(pa.string()), "\0")
+        self.table, self.size = table, table.num_rows
+        self.parent = pc.fill_null(pc.index_in(name("parent"), value_set=name("id").combine_chunks()), -1).to_numpy().astype(np.int64)
+
+    def levels(self) -> list[np.ndarray]:
+        depth = pc.fill_null(self.table["depth"], -1).to_numpy()
+        if self.size and depth.max() > MAX_DEPTH:
+            raise ValueError(f"the tree is deeper than {MAX_DEPTH}")
+        there, out = np.zeros(self.size + 1, bool), []
+        for d in range(int(depth.max(initial=-1)) + 1):
+            rows = np.flatnonzero(depth == d)
+            rows = rows[there[self.parent[rows]]] if d else rows
+            there[rows] = True
+            out.append(rows)
+        return out
+
+    def numbers(self, *names: str) -> np.ndarray:
+        """Columns as doubles, nulls as NaN."""
+        return np.column_stack([pc.fill_null(self.table[n].cast(pa.float64()), np.nan).to_numpy() for n in names])
+
+    def flags(self, name: str, of_null: bool) -> np.ndarray:
+        return pc.fill_null(self.table[name], of_null).to_numpy(zero_copy_only=False)
+
+    def among(self, name: str, values: tuple[str, ...]) -> np.ndarray:
+        return pc.fill_null(pc.is_in(self.table[name], value_set=pa.array(values)), False).to_numpy(zero_copy_only=False)
+
+
+def over_captures(nodes: DataFrame, work: Callable[[Forest], pa.Table], schema: str) -> DataFrame:
+    """Work on whole captures: one exchange by capture, one sort, and a function of arrays."""
+    ship(nodes.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_captures(batches):
+            yield from work(Forest(table)).to_batches()
+
+    order = [c for c in ("capture", "depth", "parent", "ord", "id") if c in nodes.columns]
+    return nodes.repartition("capture").sortWithinPartitions(*order).mapInArrow(run, schema)
+
+
+def _schema(nodes: DataFrame, *more: str) -> str:
+    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in nodes.schema.fields), *more])
+
 
+def _numbers(f: Forest, levels: list[np.ndarray]) -> np.ndarray:
+    """Each node's number in preorder: its parent's, one, and the sizes of its elder siblings' subtrees."""
+    size, number = np.ones(f.size + 1, np.int64), np.zeros(f.size + 1, np.int64)
+    for rows in reversed(levels[1:]):
+        np.add.at(size, f.parent[rows], size[rows])
+    for d, rows in enumerate(levels):
+        if not len(rows):
+            break
+        before = np.cumsum(size[rows]) - size[rows]  # of all rows of the level
+        family = f.parent[rows] if d else np.arange(len(rows))
+        first = np.concatenate([[True], family[1:] != family[:-1]])
+        number[rows] = (number[f.parent[rows]] if d else 0) + 1 + before - before[first][np.cumsum(first) - 1]
+    return number
 
-def preorder(nodes: DataFrame, depth: int | None = None, out: str = "preorder") -> DataFrame:
+
+def _numbered(table: pa.Table, numbers: np.ndarray, out: str) -> pa.Table:
+    named = pa.array([f"n{k}" for k in numbers.tolist()], pa.string())
+    return table.append_column(out, pa.array(numbers.astype(np.int32))).append_column("new_id", named)
+
+
+def preorder(nodes: DataFrame, out: str = "preorder") -> DataFrame:
     """Number each capture's nodes from 1, parents first, children by ord; adds `out` and the renumbered id new_id (n1, n2, ...)."""
-    step = F.array(F.struct(F.col("ord").cast("bigint").alias("o"), F.col("id").alias("i")))
-    level = nodes.where("depth = 0").select("capture", "id", step.alias("path"))
-    paths = level
-    for d in range(1, _levels(nodes, depth) + 1):
-        own = nodes.where(F.col("depth") == d).select("capture", "id", "parent", step.alias("step"))
-        up = level.select("capture", F.col("id").alias("parent"), "path")
-        level = own.join(up, ["capture", "parent"]).select("capture", "id", F.concat("path", "step").alias("path"))
-        paths = paths.unionByName(level)
-    ranked = paths.select("capture", "id", F.row_number().over(W.partitionBy("capture").orderBy("path")).alias(out))
-    return nodes.join(ranked, ["capture", "id"]).withColumn("new_id", F.concat(F.lit("n"), F.col(out)))
+
+    def work(f: Forest) -> pa.Table:
+        levels = f.levels()
+        rows = np.sort(np.concatenate(levels)) if levels else np.zeros(0, int)
+        return _numbered(f.table.take(pa.array(rows)), _numbers(f, levels)[rows], out)
+
+    return over_captures(nodes, work, _schema(nodes, f"`{out}` int", "new_id string"))
 
 
-def visible(nodes: DataFrame, depth: int | None = None) -> DataFrame:
-    """Nodes that are seen: adds `shown` (false for nodes that are passed through for want of a box).
+def visible(nodes: DataFrame, number: str | None = None) -> DataFrame:
+    """Nodes that are seen: adds `shown` (false for nodes that are passed through for want of a box), and as `preorder` does `number` and new_id.
 
     An offscreen node hides its subtree. A node whose box lies outside the viewport hides its subtree; a node without a
     box is passed through. Lists, trees, tables and data grids become the viewport of what is below them.
     """
-    port = F.struct(*(F.lit(None).cast("bigint").alias(c) for c in "xywh"))
-
-    def judge(df: DataFrame) -> DataFrame:
-        own, view = Box.of(), Box(*(F.col(f"port.{c}") for c in "xywh"))
-        has = own.x.isNotNull() & own.y.isNotNull() & (own.w > 0) & (own.h > 0)
-        free = view.x.isNull()
-        seen = has & (free | (overlap(own, view) > 0))
-        kept = df.where(~F.col("offscreen") & (seen | ~has))
-        inner = F.struct(*(F.col(c).cast("bigint").alias(c) for c in "xywh"))
-        return kept.withColumn("shown", seen).withColumn("port", F.when(has & F.col("role").isin(*VIEWPORT_ROLES), inner).otherwise(F.col("port")))
-
-    level = judge(nodes.where("depth = 0").withColumn("port", port))
-    out = level
-    for d in range(1, _levels(nodes, depth) + 1):
-        up = level.select("capture", F.col("id").alias("parent"), "port")
-        level = judge(nodes.where(F.col("depth") == d).join(up, ["capture", "parent"]).select(*nodes.columns, "port"))
-        out = out.unionByName(level)
-    return out.drop("port")
+
+    def work(f: Forest) -> pa.Table:
+        box = f.numbers("x", "y", "w", "h")
+        low, high = box[:, :2], box[:, :2] + box[:, 2:]
+        has = ~np.isnan(box[:, :2]).any(axis=1) & (box[:, 2:] > 0).all(axis=1)
+        hidden, clips = f.flags("offscreen", True), f.among("role", VIEWPORT_ROLES)
+        port = np.full((f.size + 1, 4), np.nan)  # corners of the viewport that each node hands down
+        kept, shown = np.zeros(f.size + 1, bool), np.zeros(f.size, bool)
+        levels = f.levels()
+        for d, rows in enumerate(levels):
+            up = f.parent[rows] if d else np.full(len(rows), -1)
+            view = port[up]
+            free = np.isnan(view).any(axis=1)
+            meets = (np.minimum(high[rows], view[:, 2:]) > np.maximum(low[rows], view[:, :2])).all(axis=1)
+            seen = has[rows] & (free | meets)
+            shown[rows] = seen
+            kept[rows] = ~hidden[rows] & (seen | ~has[rows]) & (kept[up] if d else True)
+            port[rows] = np.where((has & clips)[rows, None], np.hstack([low, high])[rows], view)
+        rows = np.flatnonzero(kept[:-1])
+        table = f.table.take(pa.array(rows))
+        table = _numbered(table, _numbers(f, levels)[rows], number) if number else table
+        return table.append_column("shown", pa.array(shown[rows]))
+
+    return over_captures(nodes, work, _schema(nodes, *((f"`{number}` int", "new_id string") if number else ()), "shown boolean"))
 
 
 def faults(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -132,99 +224,149 @@ def html_escape(s: Column, quote: bool = True) -> Column:
     return s
 
 
-def outline(nodes: DataFrame, label: str, depth: int | None = None) -> DataFrame:
+def outline(nodes: DataFrame, label: str) -> DataFrame:
     """Each capture's nodes as a nested list: capture, html. Folded from the deepest level up.
 
     nodes: seen nodes and those passed through (`shown`), with the text `label`. A node that isn't shown is replaced by its children.
     """
-    below = None
-    for d in range(_levels(nodes, depth), -1, -1):
-        level = nodes.where(F.col("depth") == d).select("capture", "id", "parent", "ord", "shown", label)
-        if below is not None:
-            level = level.join(below, ["capture", "id"], "left")
-        else:
-            level = level.withColumn("inner", F.lit(None).cast("string"))
-        inner = F.coalesce("inner", F.lit(""))
-        nested = F.when(inner != "", F.concat(F.lit("<ul>"), inner, F.lit("</ul>"))).otherwise(F.lit(""))
-        html = F.when(F.col("shown"), F.concat(F.lit("<li>"), html_escape(F.col(label)), nested, F.lit("</li>"))).otherwise(inner)
-        made = level.select("capture", "id", "parent", "ord", html.alias("html"))
-        if d:
-            items = F.array_sort(F.collect_list(F.struct("ord", "id", "html")))
-            below = made.groupBy("capture", F.col("parent").alias("id")).agg(F.array_join(F.transform(items, lambda x: x["html"]), "").alias("inner"))
-    return made.select("capture", F.concat(F.lit("<ul>"), "html", F.lit("</ul>")).alias("html"))
-
-
-def ancestors(nodes: DataFrame, depth: int | None = None) -> DataFrame:
-    """Every (capture, ancestor, id) with the distance between both, from 1."""
-    up = nodes.where(F.col("parent").isNotNull()).select("capture", F.col("parent").alias("ancestor"), "id", F.lit(1).alias("distance"))
-    out, step = up, up
-    for _ in range(2, _levels(nodes, depth) + 1):
-        parents = up.select("capture", F.col("ancestor").alias("higher"), F.col("id").alias("ancestor"))
-        step = step.join(parents, ["capture", "ancestor"]).select("capture", F.col("higher").alias("ancestor"), "id", (F.col("distance") + 1).alias("distance"))
-        out = out.unionByName(step)
-    return out
-
-
-def repeated_below(nodes: DataFrame, depth: int | None = None, label: str = "label") -> DataFrame:
+    kind = nodes.schema["capture"].dataType.simpleString()
+
+    def work(f: Forest) -> pa.Table:
+        said, shown = f.table["said"].to_pylist(), f.flags("shown", False).tolist()
+        inner: list[list[str]] = [[] for _ in range(f.size + 1)]
+        tops: list[tuple[int, str]] = []
+        for d, rows in reversed(list(enumerate(f.levels()))):
+            for k, up in zip(rows.tolist(), f.parent[rows].tolist()):
+                below = "".join(inner[k])
+                html = f"<li>{said[k] or ''}{f'<ul>{below}</ul>' if below else ''}</li>" if shown[k] else below
+                if d:
+                    inner[up].append(html)
+                else:
+                    tops.append((k, html))
+        rows = pa.array([k for k, _ in tops], pa.int64())
+        return pa.table({"capture": f.table["capture"].take(rows), "html": pa.array([f"<ul>{h}</ul>" for _, h in tops], pa.string())})
+
+    narrow = nodes.select("capture", "id", "parent", "depth", "ord", "shown", html_escape(F.col(label)).alias("said"))
+    return over_captures(narrow, work, f"capture {kind}, html string")
+
+
+def _keys(nodes: DataFrame) -> str:
+    return f"capture {nodes.schema['capture'].dataType.simpleString()}, id {nodes.schema['id'].dataType.simpleString()}"
+
+
+def repeated_below(nodes: DataFrame, label: str = "label") -> DataFrame:
     """Nodes whose text a descendant's caption repeats: capture, id."""
-    texts = nodes.select("capture", "id", "role", normalize(F.col(label)).alias("said"))
-    below = texts.where(F.col("role").isin(*CAPTION_ROLES)).select("capture", "id", "said")
-    pairs = ancestors(nodes, depth).join(below, ["capture", "id"]).select("capture", F.col("ancestor").alias("id"), "said")
-    return texts.where("said <> ''").select("capture", "id", "said").join(pairs, ["capture", "id", "said"], "left_semi").select("capture", "id")
+    texts = nodes.select("capture", "id", "parent", "depth", "ord", "role", normalize(F.col(label)).alias("said"))
+
+    def work(f: Forest) -> pa.Table:
+        code = pc.fill_null(f.table["said"].combine_chunks().dictionary_encode().indices, -1).to_numpy()
+        blank = pc.fill_null(pc.equal(f.table["said"], ""), True).to_numpy(zero_copy_only=False)
+        rows = np.flatnonzero(f.among("role", CAPTION_ROLES) & ~blank)
+        at, hit = f.parent[rows], np.zeros(f.size, bool)
+        while len(rows):
+            rows, at = rows[at >= 0], at[at >= 0]
+            same = code[at] == code[rows]
+            hit[at[same]] = True
+            at = f.parent[at]
+        return f.table.select(["capture", "id"]).filter(pa.array(hit))
 
+    return over_captures(texts, work, _keys(nodes))
 
-def below_role(nodes: DataFrame, roles: tuple[str, ...], depth: int | None = None) -> DataFrame:
+
+def below_role(nodes: DataFrame, roles: tuple[str, ...]) -> DataFrame:
     """Strict descendants of nodes with one of the roles (title bars for chrome, items for their edits): capture, id."""
-    tops = nodes.where(F.col("role").isin(*roles)).select("capture", F.col("id").alias("ancestor"))
-    return ancestors(nodes, depth).join(tops, ["capture", "ancestor"], "left_semi").select("capture", "id").distinct()
 
+    def work(f: Forest) -> pa.Table:
+        top, below = f.among("role", roles), np.zeros(f.size + 1, bool)
+        for d, rows in enumerate(f.levels()):
+            if d:
+                below[rows] = (top | below[:-1])[f.parent[rows]]
+        return f.table.select(["capture", "id"]).filter(pa.array(below[:-1]))
+
+    return over_captures(nodes.select("capture", "id", "parent", "depth", "ord", "role"), work, _keys(nodes))
 
-def repair_scale(nodes: DataFrame, depth: int | None = None) -> DataFrame:
+
+def hoist(nodes: DataFrame, dropped: DataFrame) -> DataFrame:
+    """Nodes without the dropped ones; children of a dropped node go up to its nearest kept ancestor.
+
+    nodes: capture, id, parent. dropped: capture, id.
+    """
+    marked = nodes.join(dropped.select("capture", "id").distinct().withColumn("_gone", F.lit(True)), ["capture", "id"], "left")
+
+    def work(f: Forest) -> pa.Table:
+        gone = np.append(f.flags("_gone", False), False)
+        at = f.parent.copy()
+        while gone[at].any():
+            at = np.where(gone[at], f.parent[at], at)
+        ids = f.table["id"].combine_chunks()
+        kept = np.flatnonzero(~gone[:-1])
+        # a parent that isn't among the nodes is kept as it was given
+        lost = (f.parent < 0)[kept]
+        new = ids.take(pa.array(np.where(at < 0, 0, at)[kept], mask=(at < 0)[kept]))
+        new = pc.if_else(pa.array(lost), f.table["parent"].combine_chunks().take(pa.array(kept)), new)
+        table = f.table.take(pa.array(kept))
+        return table.set_column(table.column_names.index("parent"), "parent", new).select(given)
+
+    given = nodes.columns
+    return over_captures(marked, work, _schema(nodes))
+
+
+def _scale(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
+    """For rows of sizes (w, h) the standard display scale by which `raw` comes within two pixels of `target`, the smallest; NaN if none."""
+    scales = np.array(SCALES)
+    fits = (np.abs(target[:, None] - raw[:, None] * scales[:, None]) <= 2).all(axis=2)
+    may = (target.min(axis=1) > 0) & (raw[:, 0] >= 100) & (raw[:, 1] >= 12) & fits.any(axis=1)
+    return np.where(may, scales[fits.argmax(axis=1)], np.nan)
+
+
+def repair_scale(nodes: DataFrame) -> DataFrame:
     """Boxes of mixed display scales made one: adds rx, ry, rw, rh (double) and recovered.
 
     Scale and shift are handed down. Below a window or pane, a pane, list or custom control whose size is a standard
     scale away from its parent's takes the parent's box. Then list rows are scaled about the list's corner if all headers
-    of the list agree on a scale.
+    of the list agree on a scale: headers stand two below their list, in a window of it.
     """
-    zero, one = F.lit(0.0), F.lit(1.0)
-
-    def place(df: DataFrame) -> DataFrame:
-        raw = Box(*(F.col(c).cast("double") for c in "xywh"))
-        box = Box(raw.x * F.col("s") + F.col("dx"), raw.y * F.col("s") + F.col("dy"), raw.w * F.col("s"), raw.h * F.col("s"))
-        target = Box(F.col("px"), F.col("py"), F.col("pw"), F.col("ph"))
-        may = F.col("prole").isin("window", "pane") & F.col("role").isin("pane", "list", "custom")
-        fix = F.when(may, display_scale(target, box))
-        df = df.withColumn("fix", fix).withColumn("s2", F.col("s") * F.coalesce("fix", one))
-        given = F.col("fix").isNotNull()
-        out = df.withColumn("dx2", F.when(given, F.col("px") - raw.x * F.col("s2")).otherwise(F.col("dx"))).withColumn("dy2", F.when(given, F.col("py") - raw.y * F.col("s2")).otherwise(F.col("dy")))
-        for c, own, up in zip(("rx", "ry", "rw", "rh"), (box.x, box.y, box.w, box.h), ("px", "py", "pw", "ph")):
-            out = out.withColumn(c, F.when(given, F.col(up)).otherwise(own))
-        factor = F.when((F.col("prole") == "window") & given, F.col("s2") / F.col("s"))
-        return out.withColumn("factor", factor)
-
-    roots = nodes.where("depth = 0")
-    for c in ("px", "py", "pw", "ph"):
-        roots = roots.withColumn(c, F.lit(None).cast("double"))
-    level = place(roots.withColumn("prole", F.lit(None).cast("string")).withColumn("s", one).withColumn("dx", zero).withColumn("dy", zero))
-    out = level
-    for d in range(1, _levels(nodes, depth) + 1):
-        up = level.select("capture", F.col("id").alias("parent"), F.col("s2").alias("s"), F.col("dx2").alias("dx"), F.col("dy2").alias("dy"), F.col("role").alias("prole"), *(F.col(f"r{c}").alias(f"p{c}") for c in "xywh"))
-        level = place(nodes.where(F.col("depth") == d).join(up, ["capture", "parent"]))
-        out = out.unionByName(level)
-    # headers stand two below their list, in a window of it
-    headers = out.where("factor IS NOT NULL").select("capture", F.col("parent").alias("id"), "factor")
-    lists = out.where("role = 'window'").select("capture", "id", "parent").join(headers, ["capture", "id"])
-    agreed = lists.groupBy("capture", F.col("parent").alias("id")).agg(F.min("factor").alias("low"), F.max("factor").alias("high")).where("high - low < 0.01")
-    agreed = out.where("role = 'list'").select("capture", "id", F.col("rx").alias("lx"), F.col("ry").alias("ly")).join(agreed, ["capture", "id"])
-    agreed = agreed.select("capture", F.col("id").alias("parent"), "lx", "ly", F.col("low").alias("row_factor"))
-    done = out.join(agreed, ["capture", "parent"], "left")
-    row = (F.col("role") == "listitem") & F.col("row_factor").isNotNull()
-    fixed = {
-        "rx": F.when(row, F.col("lx") + (F.col("rx") - F.col("lx")) * F.col("row_factor")).otherwise(F.col("rx")),
-        "ry": F.when(row, F.col("ly") + (F.col("ry") - F.col("ly")) * F.col("row_factor")).otherwise(F.col("ry")),
-        "rw": F.when(row, F.col("rw") * F.col("row_factor")).otherwise(F.col("rw")),
-        "rh": F.when(row, F.col("rh") * F.col("row_factor")).otherwise(F.col("rh")),
-    }
-    done = done.withColumns(fixed)
-    moved = (F.col("rx") != F.col("x")) | (F.col("ry") != F.col("y")) | (F.col("rw") != F.col("w")) | (F.col("rh") != F.col("h"))
-    return done.select(*nodes.columns, "rx", "ry", "rw", "rh", moved.alias("recovered"))
+
+    def work(f: Forest) -> pa.Table:
+        raw = f.numbers("x", "y", "w", "h")
+        may, under = f.among("role", ("pane", "list", "custom")), np.append(f.among("role", ("window", "pane")), False)
+        window, is_list, item = (f.among("role", (r,)) for r in ("window", "list", "listitem"))
+        scale, shift = np.ones(f.size + 1), np.zeros((f.size + 1, 2))
+        out, factor = np.full((f.size, 4), np.nan), np.full(f.size, np.nan)
+        levels = f.levels()
+        for d, rows in enumerate(levels):
+            up = f.parent[rows] if d else np.full(len(rows), -1)
+            box = raw[rows] * scale[up, None]
+            box[:, :2] += shift[up]
+            fix = np.full(len(rows), np.nan)
+            if d:
+                fix = np.where(under[up] & may[rows], _scale(out[up, 2:], box[:, 2:]), np.nan)
+            given = ~np.isnan(fix)
+            scale[rows] = scale[up] * np.where(given, fix, 1)
+            shift[rows] = shift[up]
+            if d:
+                shift[rows[given]] = out[up[given], :2] - raw[rows[given], :2] * scale[rows[given], None]
+                box[given] = out[up[given]]
+                told = given & window[up]
+                factor[rows[told]] = fix[told]
+            out[rows] = box
+        reached = np.concatenate(levels) if levels else np.zeros(0, int)
+        # lists whose headers agree
+        heads = np.flatnonzero(~np.isnan(factor))
+        owner = f.parent[f.parent[heads]]  # the header's window, then its list
+        heads, owner = heads[owner >= 0], owner[owner >= 0]
+        low, high = np.full(f.size + 1, np.inf), np.full(f.size + 1, -np.inf)
+        np.minimum.at(low, owner, factor[heads])
+        np.maximum.at(high, owner, factor[heads])
+        agreed = np.append(is_list, False) & (high - low < 0.01) & (high > 0)
+        rows = np.flatnonzero(item & agreed[f.parent] & (f.parent >= 0))
+        corner, by = out[f.parent[rows], :2], low[f.parent[rows], None]
+        out[rows] = np.hstack([corner + (out[rows, :2] - corner) * by, out[rows, 2:] * by])
+        kept = np.sort(reached)
+        table = f.table.take(pa.array(kept))
+        for k, c in enumerate(("rx", "ry", "rw", "rh")):
+            table = table.append_column(c, pa.array(out[kept, k], from_pandas=True))
+        moved = (out != raw).any(axis=1)[kept]
+        return table.append_column("recovered", pa.array(moved, mask=np.isnan(raw[kept]).any(axis=1)))
+
+    return over_captures(nodes, work, _schema(nodes, *(f"{c} double" for c in ("rx", "ry", "rw", "rh")), "recovered boolean"))

@@ -277,7 +277,7 @@ UNION ALL SELECT {_row("'line'", '0.9', 'first', 'line', 'length', '1', "'#fffff
 held AS (SELECT c.capture, c.row, c.k, t.id, t.h, median(t.h) OVER (PARTITION BY c.capture, c.row, c.k) AS usual FROM columns_of c JOIN texts t ON t.capture = c.capture AND t.x >= c.x AND t.x + t.w <= c."right" AND t.y >= 40 AND t.y + t.h <= 400),
 kept AS (SELECT * FROM held WHERE h >= 0.6 * usual), full_of AS (SELECT capture, row, k FROM kept GROUP BY ALL HAVING count(*) >= 6), good AS (SELECT capture, row FROM full_of GROUP BY ALL HAVING count(*) >= 2)
 SELECT capture, row, k, id FROM kept JOIN good USING (capture, row)""",
-    "detect_dark_panels": f"WITH {sql('parts', 'texts')} SELECT {_row("'rect'", '0.8')} FROM parts a WHERE mask = 'dark' AND fill > 0.7 AND (SELECT count(*) FROM texts b WHERE b.capture = a.capture AND {_IN}) >= 3",
+    "detect_dark_panels": f"WITH {sql('parts', 'texts')} SELECT {_row("'rect'", '0.8')} FROM parts a WHERE mask = 'dark' AND w >= 200 AND w < 960 AND h >= 70 AND h < 480 AND fill > 0.7 AND (SELECT count(*) FROM texts b WHERE b.capture = a.capture AND b.x >= a.x - 2 AND b.y >= a.y - 2 AND b.x + b.w <= a.x + a.w + 2 AND b.y + b.h <= a.y + a.h + 2) >= 3",
     "detect_coloured_icons": f"{_CONTROLS}, {sql('parts')} SELECT DISTINCT {_row("'artwork'", '0.8', 'greatest(0, x - 1)', 'greatest(0, y - 1)', 'w + 2', 'h + 2')} FROM parts b WHERE mask = 'coloured' AND w BETWEEN 8 AND 36 AND h BETWEEN 8 AND 36 AND w / h::DOUBLE BETWEEN 0.6 AND 1.6 AND EXISTS (SELECT 1 FROM controls a WHERE role = 'headeritem' AND a.capture = b.capture AND {_IN})",
     "detect_photos": f"WITH {sql('parts')} SELECT {_row("'raster'", '0.8', color="''")} FROM parts WHERE mask = 'picture' AND w >= 140 AND h >= 100 AND w <= 960 AND fill >= 0.65 AND chroma >= 0.2 AND colors >= 24",
     "detect_icon_slots": f"""{_CONTROLS} SELECT capture, id, CASE WHEN role = 'listitem' THEN x ELSE greatest(0, x - 24) END AS x, CASE WHEN role = 'listitem' THEN y ELSE greatest(0, y - 4) END AS y, CASE WHEN role = 'listitem' THEN least(32, w) ELSE 36 END AS w, CASE WHEN role = 'listitem' THEN h ELSE h + 8 END AS h

@@ -77,7 +77,7 @@ def native_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The trees as a collector's raw ones: renumbered, at twice the size and shifted, protected values dropped."""
     tree = inputs.tree(spark, sf_dir).withColumn("value", F.col("val")).withColumn("text", F.col("label"))
     matrix = F.array(*(F.lit(v) for v in (2.0, 0.0, 0.0, 2.0, -10.0, 5.0)))
-    nodes, _ = native.normalise(tree, inputs.edges(spark, sf_dir), matrix, 3)
+    nodes, _ = native.normalise(tree, inputs.edges(spark, sf_dir), matrix)
     return nodes.select("capture", "id", "parent", "x", "y", "w", "h", F.coalesce("value", F.lit("-")).alias("value"), F.coalesce("text", F.lit("-")).alias("text"))
 
 

@@ -8,15 +8,12 @@ from pyspark.sql import functions as F
 from vitrail.operators import trees
 from vitrail.plans import inputs
 
-DEPTH = 3
-
-
 def flatten_preorder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trees.preorder(inputs.tree(spark, sf_dir), DEPTH).select("capture", "id", F.col("preorder").cast("bigint").alias("preorder"), "new_id", "depth")
+    return trees.preorder(inputs.tree(spark, sf_dir)).select("capture", "id", F.col("preorder").cast("bigint").alias("preorder"), "new_id", "depth")
 
 
 def visible_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seen = trees.visible(inputs.tree(spark, sf_dir), DEPTH).where("shown")
+    seen = trees.visible(inputs.tree(spark, sf_dir)).where("shown")
     return seen.select("capture", "id", "role", "x", "y", "w", "h")
 
 
@@ -35,20 +32,20 @@ def describe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def visible_described(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Visible controls of each capture with their description, in reading order."""
-    seen = trees.visible(trees.preorder(inputs.tree(spark, sf_dir), DEPTH), DEPTH).where("shown")
+    seen = trees.visible(inputs.tree(spark, sf_dir), "preorder").where("shown")
     return _described(seen).select("capture", F.col("preorder").cast("bigint").alias("preorder"), "id", "description").orderBy("capture", "preorder")
 
 
 def outline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trees.outline(_described(trees.visible(inputs.tree(spark, sf_dir), DEPTH)), "description", DEPTH)
+    return trees.outline(_described(trees.visible(inputs.tree(spark, sf_dir))), "description")
 
 
 def repeated_below(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trees.repeated_below(inputs.tree(spark, sf_dir), DEPTH)
+    return trees.repeated_below(inputs.tree(spark, sf_dir))
 
 
 def chrome_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trees.below_role(inputs.tree(spark, sf_dir), ("list",), DEPTH)
+    return trees.below_role(inputs.tree(spark, sf_dir), ("list",))
 
 
 def prune_dangling(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,14 +54,14 @@ def prune_dangling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tree with every third order at 150 % inside a window of its own size."""
-    tree = inputs.tree(spark, sf_dir).where("depth < 3")
+    tree = inputs.tree(spark, sf_dir)
     k = F.coalesce(F.regexp_extract("id", r"^[ol](\d+)", 1).try_cast("bigint"), F.lit(1))
     logical = (F.col("depth") == 1) & (k % 3 == 0)
     return tree.withColumn("w", F.when(logical, F.lit(800)).otherwise(F.col("w")).cast("bigint")).withColumn("h", F.when(logical, F.lit(533)).otherwise(F.col("h")).cast("bigint"))
 
 
 def dpi_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fixed = trees.repair_scale(_scaled(spark, sf_dir), 2)
+    fixed = trees.repair_scale(_scaled(spark, sf_dir))
     return fixed.select("capture", "id", *(F.round(c, 6).alias(c) for c in ("rx", "ry", "rw", "rh")), "recovered")
 
 
@@ -128,12 +125,12 @@ WHERE c.role IN ('listitem', 'text', 'button') AND {_NORMAL.format("t.label")} =
     "tree_chrome_set": f"WITH RECURSIVE {_CLOSURE} SELECT DISTINCT a.capture, a.id FROM above a JOIN tree t ON a.capture = t.capture AND a.ancestor = t.id WHERE t.role = 'list'",
     "edges_prune_dangling": f"WITH {inputs.TREE_SQL}, {inputs.EDGES_SQL} SELECT e.* FROM edges e WHERE EXISTS (SELECT 1 FROM tree t WHERE t.capture = e.capture AND t.id = e.dst)",
     "tree_dpi_repair": f"""WITH {inputs.TREE_SQL},
-scaled AS (SELECT capture, id, parent, depth, role, x, y, CASE WHEN depth = 1 AND try_cast(substr(id, 2) AS BIGINT) % 3 = 0 THEN 800 ELSE w END AS w, CASE WHEN depth = 1 AND try_cast(substr(id, 2) AS BIGINT) % 3 = 0 THEN 533 ELSE h END AS h FROM tree WHERE depth < 3),
+scaled AS (SELECT capture, id, parent, depth, role, x, y, CASE WHEN depth = 1 AND try_cast(substr(id, 2) AS BIGINT) % 3 = 0 THEN 800 ELSE w END AS w, CASE WHEN depth = 1 AND try_cast(substr(id, 2) AS BIGINT) % 3 = 0 THEN 533 ELSE h END AS h FROM tree),
 p AS (SELECT *, depth = 1 AND abs(1200 - w * 1.5) <= 2 AND abs(800 - h * 1.5) <= 2 AS fix FROM scaled),
 placed AS (
   SELECT capture, id, x, y, w, h, x::DOUBLE AS rx, y::DOUBLE AS ry, w::DOUBLE AS rw, h::DOUBLE AS rh FROM p WHERE depth = 0
   UNION ALL SELECT capture, id, x, y, w, h, CASE WHEN fix THEN 0 ELSE x END, CASE WHEN fix THEN 0 ELSE y END, CASE WHEN fix THEN 1200 ELSE w END, CASE WHEN fix THEN 800 ELSE h END FROM p WHERE depth = 1
   UNION ALL SELECT c.capture, c.id, c.x, c.y, c.w, c.h, CASE WHEN u.fix THEN c.x * 1.5 - u.x * 1.5 ELSE c.x END, CASE WHEN u.fix THEN c.y * 1.5 - u.y * 1.5 ELSE c.y END,
-    CASE WHEN u.fix THEN c.w * 1.5 ELSE c.w END, CASE WHEN u.fix THEN c.h * 1.5 ELSE c.h END FROM p c JOIN p u ON c.capture = u.capture AND c.parent = u.id WHERE c.depth = 2)
+    CASE WHEN u.fix THEN c.w * 1.5 ELSE c.w END, CASE WHEN u.fix THEN c.h * 1.5 ELSE c.h END FROM p c JOIN p m ON c.capture = m.capture AND m.id = CASE WHEN c.depth = 3 THEN c.parent ELSE c.id END JOIN p u ON u.capture = m.capture AND m.parent = u.id WHERE c.depth >= 2)
 SELECT capture, id, round(rx, 6) AS rx, round(ry, 6) AS ry, round(rw, 6) AS rw, round(rh, 6) AS rh, rx <> x OR ry <> y OR rw <> w OR rh <> h AS recovered FROM placed""",
 }
