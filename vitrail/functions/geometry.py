@@ -114,6 +114,13 @@ def affine(x: Column, y: Column, m: Column) -> tuple[Column, Column]:
     return m[0] * x + m[2] * y + m[4], m[1] * x + m[3] * y + m[5]
 
 
+def unmapped(x: Column, y: Column, m: Column) -> tuple[Column, Column]:
+    """The point that an affine map [a, b, c, d, e, f] takes to (x, y); nulls if the map has no inverse."""
+    det = F.nullif(m[0] * m[3] - m[1] * m[2], F.lit(0.0))
+    dx, dy = x - m[4], y - m[5]
+    return (m[3] * dx - m[2] * dy) / det, (m[0] * dy - m[1] * dx) / det
+
+
 def affine_box(b: Box, m: Column) -> Box:
     """A box under an affine map; sizes don't become negative."""
     x, y = affine(b.x, b.y, m)

@@ -90,3 +90,30 @@ def field_status(observations: Column) -> Column:
 def states(observations: Column) -> Column:
     """Of a map property -> observation, the values of those that have one."""
     return F.transform_values(F.map_filter(observations, lambda k, v: v["status"] == "value"), lambda k, v: v["value"])
+
+
+def shell_name(name: Column) -> Column:
+    """A collector's name for a window without the marks that the desktop adds around it."""
+    return F.trim(F.regexp_replace(F.regexp_replace(name, r"^(Administrator|Select): ", ""), r" (window|- Not Responding)$", ""))
+
+
+def truncated(text: Column, wide: Column, room: Column) -> Column:
+    """The longest beginning that fits with an ellipsis, every character as wide as `wide` (doubles); texts that fit stay whole."""
+    fits = F.char_length(text) * wide <= room
+    n = F.greatest(F.lit(0), F.floor(room / wide).cast("int") - 1)
+    return F.when(fits, text).otherwise(F.concat(F.rtrim(F.substr(text, F.lit(1), n)), F.lit("…")))
+
+
+def style(raw: Column) -> Column:
+    """A run's style from a collector's attributes ('name:value;...'): color from 'r,g,b' in 16 bits each, size, weight and italic; nulls where unsaid."""
+    said = lambda name: F.nullif(F.regexp_extract(raw, rf"(?:^|;)\s*{name}:([^;]*)", 1), F.lit(""))
+    parts = F.split(said("fg-color"), ",")
+    byte = lambda k: F.lower(F.lpad(F.hex(F.floor(F.get(parts, F.lit(k)).try_cast("bigint") / 257)), 2, "0"))
+    colour = F.when(F.size(parts) == 3, F.concat(F.lit("#"), byte(0), byte(1), byte(2)))
+    return F.struct(colour.alias("color"), said("size").try_cast("double").alias("size"), said("weight").try_cast("int").alias("weight"), (said("style") == "italic").alias("italic"))
+
+
+def significant(v: Column, digits: int = 3) -> Column:
+    """A number with that many digits behind the point at most, without closing zeros and without a sign before zero."""
+    bare = F.regexp_replace(F.format_string(f"%.{digits}f", v.cast("double")), r"\.?0+$", "")
+    return F.when(bare.isin("-0", ""), "0").otherwise(bare)

@@ -113,7 +113,7 @@ def _schema(nodes: DataFrame, *more: str) -> str:
     return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in nodes.schema.fields), *more])
 
 
-def _numbers(f: Forest, levels: list[np.ndarray]) -> np.ndarray:
+def preorder_numbers(f: Forest, levels: list[np.ndarray]) -> np.ndarray:
     """Each node's number in preorder: its parent's, one, and the sizes of its elder siblings' subtrees."""
     size, number = np.ones(f.size + 1, np.int64), np.zeros(f.size + 1, np.int64)
     for rows in reversed(levels[1:]):
@@ -139,7 +139,7 @@ def preorder(nodes: DataFrame, out: str = "preorder") -> DataFrame:
     def work(f: Forest) -> pa.Table:
         levels = f.levels()
         rows = np.sort(np.concatenate(levels)) if levels else np.zeros(0, int)
-        return _numbered(f.table.take(pa.array(rows)), _numbers(f, levels)[rows], out)
+        return _numbered(f.table.take(pa.array(rows)), preorder_numbers(f, levels)[rows], out)
 
     return over_captures(nodes, work, _schema(nodes, f"`{out}` int", "new_id string"))
 
@@ -170,7 +170,7 @@ def visible(nodes: DataFrame, number: str | None = None) -> DataFrame:
             port[rows] = np.where((has & clips)[rows, None], np.hstack([low, high])[rows], view)
         rows = np.flatnonzero(kept[:-1])
         table = f.table.take(pa.array(rows))
-        table = _numbered(table, _numbers(f, levels)[rows], number) if number else table
+        table = _numbered(table, preorder_numbers(f, levels)[rows], number) if number else table
         return table.append_column("shown", pa.array(shown[rows]))
 
     return over_captures(nodes, work, _schema(nodes, *((f"`{number}` int", "new_id string") if number else ()), "shown boolean"))

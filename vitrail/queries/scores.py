@@ -83,7 +83,7 @@ def native_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def local_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark sentences against copies with a word changed, a word before them, or none of both."""
-    b = inputs.table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 80).alias("source"))
+    b = inputs.table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("source"))
     other = F.when(F.col("item_id") % 3 == 0, F.regexp_replace("source", "^\\w+", "Xyzzy")).when(F.col("item_id") % 3 == 1, F.concat(F.lit("OK "), "source")).otherwise(F.upper("source"))
     return score.local_text_checks(b.withColumn("rendered", other)).select("item_id", "ratio", "fault")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -107,6 +108,17 @@ def pixels(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, "path string, width int, height int, channels int, data binary")
 
 
+def encoded(pictures: DataFrame, side: int) -> DataFrame:
+    """Square grey pictures (path, grey: values in raster order) as PNG files: path, content."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [png.encode(np.repeat(np.array(g, np.uint8).reshape(-1, side, 1), 3, axis=2)) for g in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["path", "content"])
+
+    return pictures.select("path", "grey").mapInArrow(run, "path string, content binary")
+
+
 def embed(files: DataFrame, told: DataFrame, of: Container = OWN) -> DataFrame:
     """Pictures with the snapshots (path, snapshot as JSON) in place of any they held: path, content."""
 
@@ -125,12 +137,12 @@ def words_tsv(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("capture", F.col("page_num").alias("page"), F.col("block_num").alias("block"), F.col("par_num").alias("par"), F.col("line_num").alias("line"), F.col("left").alias("x"), F.col("top").alias("y"), F.col("width").alias("w"), F.col("height").alias("h"), "conf", "text")
 
 
-def capture_names(titles: DataFrame, title: str, at: str) -> DataFrame:
+def capture_names(titles: DataFrame, title: str, at: str, then: str | None = None) -> DataFrame:
     """File names for captures: title, local time to the millisecond, and (n) from the second of equal names on."""
     from pyspark.sql import Window as W
 
     from vitrail.functions.text import safe_name
 
     base = F.concat(safe_name(F.col(title)), F.lit(" "), F.date_format(at, "yyyy-MM-dd HH-mm-ss.SSS"))
-    numbered = titles.withColumn("_base", base).withColumn("_n", F.row_number().over(W.partitionBy("_base").orderBy(at)))
+    numbered = titles.withColumn("_base", base).withColumn("_n", F.row_number().over(W.partitionBy("_base").orderBy(at, *([then] if then else []))))
     return numbered.withColumn("file", F.concat("_base", F.when(F.col("_n") > 1, F.concat(F.lit(" ("), F.col("_n"), F.lit(")"))).otherwise(""), F.lit(".png"))).drop("_base", "_n")
