@@ -84,7 +84,11 @@ def attach_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total
     input's size; every other group is small enough for a shuffled join on its key. Both inputs should be
     materialised, as each is read twice. Null keys match nothing.
     """
-    hot = groups.where(F.col(size) * HOT_SHARE >= F.lit(max(total, 1)))
-    rest = groups.where(F.col(size) * HOT_SHARE < F.lit(max(total, 1)))
-    keys = F.broadcast(hot.select(key))
-    return rows.join(F.broadcast(hot), key).unionByName(rows.join(keys, key, "left_anti").join(rest, key))
+    share = F.col(size) * HOT_SHARE >= F.lit(max(total, 1))
+    hot = groups.where(share)
+    keys = [r[0] for r in hot.select(key).collect()]  # HOT_SHARE rows at most
+    if not keys:
+        return rows.join(groups, key)
+    # both sides are told apart by the keys themselves, so no join passes rows on that another one takes in
+    is_hot = F.col(key).isin(keys)
+    return rows.where(is_hot).join(F.broadcast(hot), key).unionByName(rows.where(~is_hot).join(groups.where(~share), key))
