@@ -210,16 +210,18 @@ def components_of(single: DataFrame, docs: DataFrame, run: int = RUN) -> DataFra
 
     single: node, size, fp, bands, row (of one document that stands for it), one row a node, materialised; docs: row, text.
     """
-    keyed = materialize(single.select("node", "size", "fp", F.explode("bands").alias("key")), "overlap-keys")
-    centre = F.min_by(F.struct("node", "size", "fp"), "node").alias("c")
-    blocks = materialize(keyed.groupBy("key").agg(centre, F.count("*").alias("n"), F.sum("size").alias("weight")).where("n > 1"), "overlap-blocks")
-    met = materialize(attach_groups(keyed, blocks, "key", "n", keyed.count()), "overlap-met")
+    # keys alone are grouped; sizes and fingerprints join what shares a block
+    keyed = materialize(single.select("node", F.explode("bands").alias("key")), "overlap-keys")
+    total = keyed.count()
+    blocks = materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "overlap-blocks")
+    met = materialize(attach_groups(keyed, blocks, "key", "n", total).join(single.select("node", "size", "fp"), "node"), "overlap-met")
+    centres = materialize(met.groupBy("key", "n").agg(F.min_by(F.struct("node", "size", "fp"), "node").alias("c")), "overlap-centres")
     wanted = materialize(single.select("node", "row", "bands").join(met.select("node").distinct(), "node"), "overlap-wanted")
     sets = materialize(sets_of(docs, wanted), "overlap-sets")
-    stars = met.select("node", "size", "fp", F.col("c.node").alias("centre"), F.col("c.size").alias("around"), F.col("c.fp").alias("middle"))
+    stars = attach_groups(met.drop("n"), centres, "key", "n", total).select("node", "size", "fp", F.col("c.node").alias("centre"), F.col("c.size").alias("around"), F.col("c.fp").alias("middle"))
     joined = materialize(connect(confirmed(stars.mapInArrow(_near_centre, "a bigint, b bigint"), sets)), "overlap-stars")
     # what is left: pairs of a block whose ends are not connected yet
-    rooted = materialize(met.drop("c", "n", "weight").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node")), "overlap-rooted")
+    rooted = materialize(met.drop("n").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node")), "overlap-rooted")
     several = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"), F.sum("size").alias("weight")).where("low <> high")
     # a chunk holds `run` rows and `run` thousand shingles at most, about
     mixed = materialize(several.select("key", F.greatest("n", F.ceil(F.col("weight") / 1000)).alias("n")), "overlap-mixed")
