@@ -40,7 +40,7 @@ LONG_CHUNK = 64
 #: Pieces of one length that are ranked together, about: a more frequent length is ranked in more parts.
 PART_ROWS = 100_000
 #: Blocks of ranks into which a length's pieces are cut to look up their places.
-LOOKUPS = 256
+LOOKUPS = 32
 #: A chunk that the vocabulary's pattern cuts into letters and then punctuation, whatever the Unicode version.
 PLAIN = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!#-&(-/:-@\[-`{-~]*)")
 
