@@ -6,11 +6,14 @@ Tables are DataFrames: groups(id, background, canonical_hash), bitmaps(hash, gro
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+
+from vitrail.session import materialize, ship
 
 #: What a match may differ by.
 FOREGROUND = 40
@@ -143,34 +146,108 @@ def match(query: np.ndarray, known: np.ndarray, background: np.ndarray) -> tuple
     return min(found, key=lambda m: m[:2], default=None)
 
 
-GROUP_SCHEMA = "hash string, group_id string, background string, width int, height int, dx double, dy double, match_kind string"
+def _measured(icons: DataFrame) -> DataFrame:
+    """One row for each distinct picture (the first by seq), with the means of its channels on its background: adds mr, mg, mb."""
+    first = F.min_by(F.struct(*(c for c in icons.columns if c != "hash")), "seq").alias("i")
+    once = icons.groupBy("hash").agg(first).select("hash", "i.*").select("seq", "hash", "background", "width", "height", "channels", "pixels")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(k).to_pylist() for k in range(2, 7)))
+            means = np.array([_flat(*r).mean(axis=(0, 1)) for r in rows], float).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(means[:, k]) for k in range(3))], names=[*batch.schema.names, "mr", "mg", "mb"])
+
+    kinds = ", ".join(f"{n} {t}" for n, t in once.dtypes)
+    ship(icons.sparkSession)
+    return once.mapInArrow(run, f"{kinds}, mr double, mg double, mb double")
+
+
+def _flat(background: str, width: int, height: int, channels: int, pixels: bytes) -> np.ndarray:
+    return flatten(np.frombuffer(pixels, np.uint8).reshape(height, width, channels), np.array(list(bytes.fromhex(background[1:])), np.float32))
+
+
+def candidate_pairs(once: DataFrame) -> DataFrame:
+    """Pairs (a before b by seq and hash) on one background whose sizes differ by a pixel at most and whose means can match.
+
+    An equi-join on background, size and a band of the mean, as wide as the means of a matching pair can be apart at that size.
+    """
+    band = lambda w, h: 10 + 765 * (1 / F.greatest(w - 1, F.lit(1)) + 1 / F.greatest(h - 1, F.lit(1)))
+    mean = (F.col("mr") + F.col("mg") + F.col("mb")) / 3
+    near = F.array(F.lit(-1), F.lit(0), F.lit(1))
+    own = once.select("seq", "hash", "background", "width", "height", "mr", "mg", "mb", mean.alias("m"))
+    a = own.select("background", *(F.col(c).alias(f"a_{c}") for c in ("seq", "hash", "width", "height", "mr", "mg", "mb", "m")))
+    a = a.withColumn("width", F.explode(F.transform(near, lambda d: F.col("a_width") + d))).withColumn("height", F.explode(F.transform(near, lambda d: F.col("a_height") + d)))
+    a = a.withColumn("cell", F.explode(F.transform(near, lambda d: F.floor(F.col("a_m") / band(F.col("width"), F.col("height"))) + d)))
+    b = own.withColumn("cell", F.floor(F.col("m") / band(F.col("width"), F.col("height"))))
+    met = a.join(b, ["background", "width", "height", "cell"]).where(F.struct("a_seq", "a_hash") < F.struct("seq", "hash"))
+    limit = fingerprint_limit(F.col("a_width"), F.col("a_height"), F.col("width"), F.col("height"))
+    for c in ("mr", "mg", "mb"):
+        met = met.where(F.abs(F.col(c) - F.col(f"a_{c}")) <= limit)
+    return met.select(F.col("a_hash").alias("a"), F.col("hash").alias("b"))
+
+
+def _matched(pairs: DataFrame, once: DataFrame) -> DataFrame:
+    """Pairs that match, with how well and at which shift: a, b, error, steps, dx, dy."""
+    fields = ("width", "height", "channels", "pixels")
+    side = lambda end: once.select(F.col("hash").alias(end), *(F.col(f).alias(f"{end}_{f}") for f in fields))
+    whole = pairs.join(side("a"), "a").join(side("b").join(once.select(F.col("hash").alias("b"), "background"), "b"), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for a, b, bg, *rest in zip(*(c.to_pylist() for c in batch.columns)):
+                known, query = _flat(bg, *rest[:4]), _flat(bg, *rest[4:])
+                if sample_may_match(query, known) and (found := match(query, known, np.array(list(bytes.fromhex(bg[1:])), np.float32))):
+                    out.append((a, b, *found))
+            kinds = (pa.string(), pa.string(), pa.float64(), pa.int32(), pa.float64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 6, kinds)], names=["a", "b", "error", "steps", "dx", "dy"])
+
+    ship(once.sparkSession)
+    columns = ["a", "b", "background", *(f"{end}_{f}" for end in "ab" for f in fields)]
+    return whole.select(*columns).mapInArrow(run, "a string, b string, error double, steps int, dx double, dy double")
 
 
 def assign_groups(icons: DataFrame) -> DataFrame:
     """Group icons as they arrive: one row per distinct picture with its group, offset and how it was matched.
 
-    Within a background, in the order of `seq`: a picture known exactly joins at once; else the best match over all members
-    (ties: the smaller hash) gives its group, offsets adding up; else it founds a group. A bridge never merges two groups, so
-    this is a replay and no components rule. Candidates come from the size bands of what has arrived.
+    In the order of `seq` a picture joins the group of the best match among all that arrived before it on its background (least error, then
+    shift, then hash), offsets adding up; without one it founds a group. What it joins depends on pictures alone and not on groups, so pairs
+    are matched in parallel, each picture keeps its best one, and groups are the roots of these links, found by doubling them until all
+    lead to a founder. A bridge never merges two groups.
 
-    icons: seq, hash, background ('#rrggbb'), width, height, channels, pixels (bytes in raster order). Copies are removed before
-    the grouping, so that a group holds each picture once.
+    icons: seq, hash, background ('#rrggbb'), width, height, channels, pixels (bytes in raster order). Copies are removed first.
+    """
+    once = materialize(_measured(icons), "icons")
+    best = F.min(F.struct("error", "steps", F.col("a").alias("up"), "dx", "dy")).alias("m")
+    links = materialize(_matched(candidate_pairs(once), once).groupBy(F.col("b").alias("hash")).agg(best).select("hash", "m.up", "m.dx", "m.dy"), "icon-links")
+    while True:
+        higher = links.select(F.col("hash").alias("up"), F.col("up").alias("top"), F.col("dx").alias("ux"), F.col("dy").alias("uy"))
+        further = links.join(higher, "up", "left")
+        zero = F.lit(0.0)
+        step = further.select("hash", F.coalesce("top", "up").alias("up"), (F.col("dx") + F.coalesce("ux", zero)).alias("dx"), (F.col("dy") + F.coalesce("uy", zero)).alias("dy"), F.col("top").isNotNull().alias("moved"))
+        step = materialize(step, "icon-links")
+        links = step.drop("moved")
+        if step.where("moved").isEmpty():
+            break
+    joined = once.join(links, "hash", "left")
+    kind = F.when(F.col("up").isNull(), "new").otherwise("bitmap")
+    return joined.select("hash", F.coalesce("up", "hash").alias("group_id"), "background", "width", "height", F.coalesce("dx", F.lit(0.0)).alias("dx"), F.coalesce("dy", F.lit(0.0)).alias("dy"), kind.alias("match_kind"))
+
+
+def trace_states(groups: DataFrame, traces: DataFrame, files: DataFrame, algorithm: str) -> DataFrame:
+    """What is to be done for each group's drawing by an algorithm: group_id, todo ('none', 'trace' where there is none yet, 'again' where a vector's file is lost).
+
+    groups: id. traces: group_id, algorithm, status. files: group_id, algorithm.
     """
-    once = icons.withColumn("_k", F.row_number().over(W.partitionBy("hash").orderBy("seq"))).where("_k = 1").drop("_k")
-
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        known: dict[tuple[int, int], list[tuple]] = {}
-        out = []
-        for row in pdf.sort_values(["seq", "hash"]).itertuples():
-            bg = np.array(list(bytes.fromhex(row.background[1:])), np.float32)
-            picture = flatten(np.frombuffer(row.pixels, np.uint8).reshape(row.height, row.width, row.channels), bg)
-            best, group, dx, dy, how = None, row.hash, 0.0, 0.0, "new"
-            near = [m for i in (-1, 0, 1) for j in (-1, 0, 1) for m in known.get((row.width + i, row.height + j), ())]
-            for other, of, ox, oy, seen in sorted(near, key=lambda m: m[0]):
-                if sample_may_match(picture, seen) and (found := match(picture, seen, bg)) and (best is None or found[:2] < best):
-                    best, group, dx, dy, how = found[:2], of, ox + found[2], oy + found[3], "bitmap"
-            known.setdefault((row.width, row.height), []).append((row.hash, group, dx, dy, picture))
-            out.append((row.hash, group, row.background, row.width, row.height, dx, dy, how))
-        return pd.DataFrame(out, columns=["hash", "group_id", "background", "width", "height", "dx", "dy", "match_kind"])
-
-    return once.groupBy("background").applyInPandas(replay, GROUP_SCHEMA)
+    own = traces.where(F.col("algorithm") == algorithm).select("group_id", "status")
+    there = files.where(F.col("algorithm") == algorithm).select("group_id", F.lit(True).alias("there")).distinct()
+    joined = groups.select(F.col("id").alias("group_id")).join(own, "group_id", "left").join(there, "group_id", "left")
+    todo = F.when(F.col("status").isNull(), "trace").when((F.col("status") == "vector") & F.col("there").isNull(), "again").otherwise("none")
+    return joined.select("group_id", todo.alias("todo"))
+
+
+def eligible_artwork(nodes: DataFrame) -> DataFrame:
+    """Drawings of a scene that are traced, and which of them share one trace: adds key. nodes: capture, ord, kind, leaf, opaque, approximated, w, h,
+    background, pixels."""
+    wanted = nodes.where(F.col("leaf") & F.col("kind").isin("raster", "capture-artwork") & ~F.col("opaque") & ~F.col("approximated") & (F.greatest("w", "h") <= 96))
+    return wanted.withColumn("key", F.sha2(F.concat_ws("|", F.col("w").cast("string"), F.col("h").cast("string"), "background", F.hex("pixels")), 256))

@@ -123,9 +123,21 @@ def components(tiles: DataFrame, side: int, least: int = 128, eight: bool = Fals
     return tiles.select("id", "grey").mapInArrow(run, "id bigint, component bigint, x bigint, y bigint, w bigint, h bigint, pixels bigint")
 
 
+#: Ranges of ids whose drawings are numbered apart.
+RANGES = 4096
+
+
 def shared_definitions(tiles: DataFrame) -> DataFrame:
     """How often each drawing occurs; repeated ones get a number by first appearance: id, uses, definition (null if drawn once)."""
     keyed = tiles.withColumn("key", digest(F.col("bg"), F.lit(8), F.lit(8), F.transform("grey", lambda v: F.floor(v / 128))))
     groups = keyed.groupBy("key").agg(F.count("*").alias("uses"), F.min("id").alias("first"))
-    numbered = groups.where("uses > 1").withColumn("definition", F.row_number().over(W.orderBy("first")) - 1)
-    return keyed.select("id", "key").join(groups.select("key", "uses"), "key").join(numbered.select("key", "definition"), "key", "left").select("id", "uses", "definition")
+    repeated = groups.where("uses > 1")
+    # numbers follow `first`: within ranges of it, behind the counts of the ranges before
+    low, high = tiles.agg(F.min("id"), F.max("id")).first()
+    span = (high or 0) - (low or 0) + 1
+    ranged = repeated.withColumn("range", F.floor((F.col("first") - F.lit(low or 0)) * RANGES / F.lit(span)))
+    counts = ranged.groupBy("range").agg(F.count("*").alias("n"))  # RANGES rows at most
+    before = counts.select("range", (F.sum("n").over(W.orderBy("range")) - F.col("n")).alias("before"))
+    numbered = ranged.withColumn("k", F.row_number().over(W.partitionBy("range").orderBy("first")) - 1).join(F.broadcast(before), "range")
+    numbered = numbered.select("key", (F.col("before") + F.col("k")).alias("definition"))
+    return keyed.select("id", "key").join(groups.select("key", "uses"), "key").join(numbered, "key", "left").select("id", "uses", "definition")

@@ -43,8 +43,8 @@ def block_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def icon_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pictures of two grey levels in order of their id; each is followed by a slightly brighter copy."""
-    tiles = inputs.tiles(spark, sf_dir).withColumn("bg", F.concat(F.lit("#"), F.lpad(F.hex(F.col("bg") * 16), 2, "0"), F.lpad(F.hex(F.floor(F.col("id") / 100)), 4, "0")))
+    """Pictures of two grey levels in order of their id, on a background by their label; each is followed by a slightly brighter copy."""
+    tiles = inputs.tiles(spark, sf_dir).withColumn("bg", F.concat(F.lit("#"), F.lpad(F.hex(F.col("bg") * 16), 2, "0"), F.lit("0000")))
     both = tiles.select("*", F.explode(F.array(F.lit(0), F.lit(2))).alias("more"))
     grey = F.transform("grey", lambda v: F.least(F.floor(v / 128) * 200 + F.col("more"), F.lit(255)))
     hexed = F.array_join(F.transform(grey, lambda v: F.repeat(F.lpad(F.hex(v.cast("bigint")), 2, "0"), F.lit(3))), "")
