@@ -10,7 +10,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitrail.session import materialize, ship
@@ -251,3 +252,25 @@ def eligible_artwork(nodes: DataFrame) -> DataFrame:
     background, pixels."""
     wanted = nodes.where(F.col("leaf") & F.col("kind").isin("raster", "capture-artwork") & ~F.col("opaque") & ~F.col("approximated") & (F.greatest("w", "h") <= 96))
     return wanted.withColumn("key", F.sha2(F.concat_ws("|", F.col("w").cast("string"), F.col("h").cast("string"), "background", F.hex("pixels")), 256))
+
+
+#: The catalogue's tables and the columns that their files are parted by.
+TABLES = {"groups": ["background"], "bitmaps": ["background"], "traces": ["algorithm"], "names": [], "source_images": []}
+
+
+def store(tables: dict[str, DataFrame], path: str) -> None:
+    """Write the catalogue's tables below a path, parted so that a look-up on one background reads that background alone."""
+    for name, by in TABLES.items():
+        if name in tables:
+            tables[name].write.mode("overwrite").partitionBy(*by).parquet(f"{path}/{name}")
+
+
+def load(spark: SparkSession, path: str, schemas: dict[str, str]) -> dict[str, DataFrame]:
+    """The catalogue's tables; those never written are empty. schemas: of each table asked for."""
+    out = {}
+    for name, schema in schemas.items():
+        try:
+            out[name] = spark.read.schema(schema).parquet(f"{path}/{name}")
+        except AnalysisException:
+            out[name] = spark.createDataFrame([], schema)
+    return out

@@ -286,6 +286,28 @@ def below_role(nodes: DataFrame, roles: tuple[str, ...]) -> DataFrame:
     return over_captures(nodes.select("capture", "id", "parent", "depth", "ord", "role"), work, _keys(nodes))
 
 
+def table_cells(nodes: DataFrame, rows: tuple[str, ...] = ("listitem", "dataitem"), cells: tuple[str, ...] = ("edit",)) -> DataFrame:
+    """Cells of tables: controls of some roles below rows of lists and grids: capture, id."""
+    below = below_role(nodes, rows)
+    return nodes.where(F.col("role").isin(*cells)).select("capture", "id").join(below, ["capture", "id"], "left_semi")
+
+
+def private(nodes: DataFrame) -> DataFrame:
+    """Controls whose contents must not be told: protected ones, what is below them, and what lies in their boxes: capture, id."""
+    from vitrail.operators.spatial import containing_pairs
+
+    def work(f: Forest) -> pa.Table:
+        own, below = f.flags("protected", True), np.zeros(f.size + 1, bool)
+        for d, rows in enumerate(f.levels()):
+            below[rows] = own[rows] | (below[f.parent[rows]] if d else False)
+        return f.table.select(["capture", "id"]).filter(pa.array(below[:-1]))
+
+    inherited = over_captures(nodes.select("capture", "id", "parent", "depth", "ord", "protected"), work, _keys(nodes))
+    boxes = nodes.where((F.col("w") > 0) & (F.col("h") > 0))
+    inside = containing_pairs(boxes.where("protected"), boxes, ["id"], ["id"], 2).select("capture", F.col("b_id").alias("id"))
+    return inherited.unionByName(inside).distinct()
+
+
 def hoist(nodes: DataFrame, dropped: DataFrame) -> DataFrame:
     """Nodes without the dropped ones; children of a dropped node go up to its nearest kept ancestor.
 

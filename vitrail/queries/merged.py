@@ -214,7 +214,38 @@ def shape_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pictures.complexity(inputs.pixels(spark, sf_dir), 200)
 
 
+def picture_crops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The middle of each grey tile cut out, encoded and decoded again: sums of its pixels."""
+    tiles = inputs.tiles(spark, sf_dir).select(c("id").cast("string").alias("path"), "grey")
+    cut = captures.crops(captures.pixels(captures.encoded(tiles, 8)), tiles.select("path", c("path").alias("id"), F.lit(2).alias("x"), F.lit(-1).alias("y"), F.lit(4).alias("w"), F.lit(5).alias("h")))
+    again = captures.pixels(cut.select("path", F.unbase64("png").alias("content")))
+    total = F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: F.conv(F.hex(F.substr("data", k * 3 + 1, F.lit(1))), 16, 10).cast("bigint") * (k + 1)), F.lit(0).cast("bigint"), lambda a, v: a + v)
+    return again.select(c("path").cast("bigint").alias("id"), "width", "height", total.alias("weighted"))
+
+
+def trace_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = inputs.table(spark, sf_dir, "documents").select(c("doc_id").alias("id"))
+    traces = _traces(spark, sf_dir)
+    return catalog.trace_states(groups, traces, traces.where("group_id % 4 > 0").select("group_id", "algorithm"), "flat")
+
+
+def artwork_eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    boxes = inputs.boxes(spark, sf_dir)
+    nodes = boxes.select("capture", "id", F.expr(_SCENE).alias("kind"), (c("id") % 4 > 0).alias("leaf"), (c("id") % 5 == 0).alias("opaque"), (c("id") % 7 == 0).alias("approximated"), (c("w") * 2).alias("w"), "h", F.concat(F.lit("#"), c("capture") % 3).alias("background"), F.encode((c("id") % 11).cast("string"), "utf-8").alias("pixels"))
+    return catalog.eligible_artwork(nodes).select("capture", "id", "key")
+
+
+def tree_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trees.table_cells(inputs.tree(spark, sf_dir), ("listitem",), ("text",))
+
+
+def tree_private(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tree = inputs.tree(spark, sf_dir)
+    return trees.private(tree.withColumn("protected", c("protected") | ((c("depth") == 2) & (c("ord") == 6))))
+
+
 QUERIES = {
+    "picture_crops": picture_crops, "trace_states": trace_states, "artwork_eligible": artwork_eligible, "tree_table_cells": tree_cells, "tree_private": tree_private,
     "text_refined": text_refined, "text_overridden": text_overridden, "panel_copies": panel_copies, "button_promotions": button_promotions, "table_replacement": table_replacement, "text_fragments": fragments,
     "scene_prune_rules": prune_rules, "artwork_names": artwork_names, "box_neighbours": box_neighbours, "text_functions": text_functions, "role_resolved": role_resolved, "file_names": file_names, "ocr_retry": retry,
     "svg_surfaces": svg_surfaces, "svg_documents": svg_documents, "semantic_overlay": semantic_overlay, "svg_inlined": svg_inlined, "catalog_traces": catalog_traces, "catalog_edited": catalog_edited, "catalog_stale": catalog_stale,
@@ -300,5 +331,12 @@ s AS (SELECT capture, '<svg xmlns="http://www.w3.org/2000/svg" width="1200" heig
     "review_pages": f"""WITH {_TRACES}, p AS (SELECT doc_id AS group_id, '<!doctype html><html lang="en"><meta charset="utf-8"><title>Icon group ' || doc_id || '</title><p>' || {_NAMES} || '</p><p>' || {_ESCAPE.format('source')} || '</p><table>' ||
   coalesce('<tr><td>' || algorithm || '</td><td>' || status || '</td><td>' || size || '</td></tr>', '') || '</table></html>' || chr(10) AS html FROM documents LEFT JOIN traces ON doc_id = group_id) SELECT group_id, html, sha256(html) AS digest FROM p""",
     "snapshot_round_trip": f"""WITH {inputs.TREE_SQL} SELECT capture, id, parent, depth, CASE WHEN depth = 0 THEN 1 ELSE 1 + row_number() OVER (PARTITION BY capture, depth ORDER BY ord, id) END AS preorder, role, label, x::DOUBLE AS x, y::DOUBLE AS y, w::DOUBLE AS w, h::DOUBLE AS h, enabled, offscreen FROM tree WHERE depth <= 1""",
+    "picture_crops": f"WITH {inputs.TILES_SQL} SELECT id, 4 AS width, 4 AS height, sum(v * (py * 4 + px - 2 + 1))::BIGINT AS weighted FROM pixels WHERE py < 4 AND px BETWEEN 2 AND 5 GROUP BY id",
+    "trace_states": f"WITH {_TRACES}, f AS (SELECT * FROM traces WHERE algorithm = 'flat') SELECT doc_id AS group_id, CASE WHEN status IS NULL THEN 'trace' WHEN status = 'vector' AND group_id % 4 = 0 THEN 'again' ELSE 'none' END AS todo FROM documents LEFT JOIN f ON doc_id = group_id",
+    "artwork_eligible": f"{_B} SELECT capture, id, sha256((w * 2) || '|' || h || '|#' || (capture % 3) || '|' || upper(hex((id % 11)::VARCHAR))) AS key FROM boxes WHERE {_SCENE} = 'raster' AND id % 4 > 0 AND id % 5 <> 0 AND id % 7 <> 0 AND greatest(w * 2, h) <= 96",
+    "tree_table_cells": f"WITH RECURSIVE {tree_queries._CLOSURE} SELECT DISTINCT c.capture, c.id FROM above a JOIN tree t ON a.capture = t.capture AND a.ancestor = t.id AND t.role = 'listitem' JOIN tree c ON c.capture = a.capture AND c.id = a.id AND c.role = 'text'",
+    "tree_private": f"""WITH RECURSIVE {tree_queries._CLOSURE}, p AS (SELECT *, protected OR (depth = 2 AND ord = 6) AS hidden FROM tree)
+SELECT capture, id FROM p WHERE hidden UNION SELECT a.capture, a.id FROM above a JOIN p ON a.capture = p.capture AND a.ancestor = p.id AND hidden
+UNION SELECT b.capture, b.id FROM p a JOIN p b ON a.capture = b.capture AND a.hidden AND a.w > 0 AND a.h > 0 AND b.w > 0 AND b.h > 0 AND {_in('a', 'b', 2)}""",
     "picture_pixels": f"WITH {inputs.TILES_SQL} SELECT id, 8 AS width, 8 AS height, 3 AS channels, sum(v * (py * 8 + px + 1))::BIGINT AS weighted FROM pixels GROUP BY id",
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import json
 from collections.abc import Iterator
 
@@ -108,6 +109,27 @@ def pixels(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, "path string, width int, height int, channels int, data binary")
 
 
+def crops(pictures: DataFrame, boxes: DataFrame) -> DataFrame:
+    """Parts of pictures as PNG in base64: path, id, png. pictures: of `pixels`; boxes: path, id, x, y, w, h (cut at the picture's sides)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for w, h, channels, raw, x, y, bw, bh in zip(*(batch.column(k).to_pylist() for k in range(2, 10))):
+                part = np.frombuffer(raw, np.uint8).reshape(h, w, channels)[max(0, y) : max(0, y + bh), max(0, x) : max(0, x + bw)]
+                made.append(base64.b64encode(png.encode(part)).decode() if part.size else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.string())], names=["path", "id", "png"])
+
+    kind = boxes.schema["id"].dataType.simpleString()
+    met = boxes.join(pictures, "path").select("path", "id", "width", "height", "channels", "data", "x", "y", "w", "h")
+    return met.mapInArrow(run, f"path string, id {kind}, png string")
+
+
+def export_json(read_captures: DataFrame, path: str) -> None:
+    """Snapshots of sound captures as JSON lines below a new path; a path that exists (an input, say) is refused by the writer."""
+    read_captures.where("status = 'ok'").select("snapshot").write.mode("errorifexists").text(path)
+
+
 def encoded(pictures: DataFrame, side: int) -> DataFrame:
     """Square grey pictures (path, grey: values in raster order) as PNG files: path, content."""
 
