@@ -43,6 +43,12 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
 
 
+def may_reach(a: Column, b: Column, limit: float) -> Column:
+    """Whether the ratio of two texts can be above a limit, by their lengths alone: twice the shorter over both."""
+    sizes = F.char_length(a), F.char_length(b)
+    return 2 * F.least(*sizes) > F.lit(limit) * (sizes[0] + sizes[1])
+
+
 def icon_text(text: Column) -> Column:
     """Whether a text consists of private-use characters (icon fonts) and white space alone."""
     return (F.trim(text) != "") & text.rlike(r"^[\p{Co}\s]+$") & text.rlike(r"\p{Co}")
