@@ -41,6 +41,8 @@ RADIUS = 64
 WORDS = 4
 #: Nodes of one block that are compared in one go; larger blocks are divided.
 RUN = 2048
+#: Rows whose planes a task holds, with one block more: a row's shifted planes take half a kilobyte for each distance.
+COMPARED = 16_000
 #: Pairs of one node that are confirmed together, about; and rows with their sets that a task holds, with one block more.
 PAIRS, HELD = 500, 2_000
 #: Shingles whose permuted hashes are held at once.
@@ -181,7 +183,7 @@ MEMBER = ["key", "block", "node", "size", "root", *(f"w{k}" for k in range(WORDS
 
 def _with_partner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows (MEMBER) those that have a near partner with another root under their key."""
-    for columns in whole_runs(batches):
+    for columns in whole_runs(batches, COMPARED):
         keys, _, _, sizes, roots, *words = columns
         some = np.zeros(len(keys), bool)
         for a, b in pairs_in_runs(keys, np.column_stack(words).view(np.uint64), RADIUS, roots, sizes, LEAST):
