@@ -31,7 +31,7 @@ BLANKS = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]+"
 LEAST_BUCKETS = 1 << 14
 #: Buckets for each unit of the root of the corpus's bytes.
-PER_ROOT = 4
+PER_ROOT = 2
 #: Trusted n-grams added to each bucket; the raw multinomial gets as many for its own size, so that a bucket with few
 #: n-grams says little for or against a text, in a small corpus as well.
 SMOOTHING = 30.0
