@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitrail.llm.common import broadcast_in_slices, materialize
-from vitrail.session import shared_path
+from vitrail.session import interim, remove, shared_path
 
 END = "\r\n"
 CLOSE = END + END
@@ -107,13 +107,14 @@ def write(
 ) -> None:
     """Write the pages' records as archive files below `path`."""
     own = _rows(pages, page_id, url, payload)
-    keys = materialize(own.select("id", "bytes", "digest"), "warc-digests")
-    shared = materialize(shared_digests(keys, revisit_from), "warc-shared")
-    kind = sum(((F.col("bytes") > most).cast("int") for most in classes[:-1]), F.lit(0))
-    for k in sorted(r[0] for r in keys.groupBy(kind.alias("kind")).count().collect()) or [0]:  # a row for each class
-        most = max(1, min(file_records, FILE_BYTES // classes[k]))
-        made = records(own.where(kind == k), shared, revisit_from=revisit_from, **how)
-        made.write.mode("append").option("lineSep", CLOSE).option("maxRecordsPerFile", most).text(path)
+    with interim(pages.sparkSession):
+        keys = materialize(own.select("id", "bytes", "digest"), "warc-digests")
+        shared = materialize(shared_digests(keys, revisit_from), "warc-shared")
+        kind = sum(((F.col("bytes") > most).cast("int") for most in classes[:-1]), F.lit(0))
+        for k in sorted(r[0] for r in keys.groupBy(kind.alias("kind")).count().collect()) or [0]:  # a row for each class
+            most = max(1, min(file_records, FILE_BYTES // classes[k]))
+            made = records(own.where(kind == k), shared, revisit_from=revisit_from, **how)
+            made.write.mode("append").option("lineSep", CLOSE).option("maxRecordsPerFile", most).text(path)
 
 
 def cut(content: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
@@ -328,8 +329,14 @@ def merge(index_runs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
 
 
 def archive(pages: DataFrame, path: str | None = None, **how) -> DataFrame:
-    """Write the pages' archives, read them back and merge their indexes: the captures in order, columns of FIELDS."""
+    """Write the pages' archives, read them back and merge their indexes: the captures in order, columns of FIELDS.
+
+    Archives without a path of their own are removed when their runs are written.
+    """
     spark = pages.sparkSession
-    path = path or shared_path(spark, "warc")
-    write(pages, path, **how)
-    return merge(runs(spark, path))
+    at = path or shared_path(spark, "warc")
+    write(pages, at, **how)
+    index = runs(spark, at)
+    if not path:
+        remove(spark, at)
+    return merge(index)
