@@ -176,6 +176,43 @@ def test_icon_groups_replay(spark):
     assert got == want and len({g for g, *_ in want.values()}) < len(want)
 
 
+def speckled(count, height, width, seed):
+    """Pictures of 5 motifs in few colours with noise, each moved by up to a pixel."""
+    rnd = np.random.default_rng(seed)
+    motifs = np.random.default_rng(9).integers(0, 2, (5, 24, 24, 3)) * 180
+    out = []
+    for k in range(count):
+        y, x = rnd.integers(0, 3, 2)
+        out.append((motifs[k % 5][y : y + height, x : x + width] + rnd.integers(0, 7, (height, width, 3)) * int(rnd.integers(0, 2))).astype(np.float32))
+    return np.array(out)
+
+
+def test_near_pairs_lose_no_match():
+    for h, w, kh, kw in ((8, 8, 8, 8), (9, 8, 8, 9), (20, 19, 19, 19), (3, 9, 3, 8), (2, 9, 3, 9)):
+        query, known, white = speckled(60, h, w, 1), speckled(60, kh, kw, 2), np.full(3, 255.0)
+        before = np.random.default_rng(3).random((60, 60)) < 0.9
+        i, j, low = catalog.near_pairs(query, known, before)
+        got = {(a, b): least for a, b, least in zip(i.tolist(), j.tolist(), low.tolist())}
+        assert len(got) == len(i) and all(before[p] for p in got)
+        want = {(a, b): m for a in range(60) for b in range(60) if before[a, b] and (m := catalog.match(query[a], known[b], white))}
+        assert set(want) <= set(got) and all(got[p] <= m[0] + 1e-3 for p, m in want.items())
+        if min(h, w) >= 8:
+            assert want and len(got) < before.sum() / 3
+        assert (np.diff(i) >= 0).all() and all(low[k] <= low[k + 1] for k in range(len(i) - 1) if i[k] == i[k + 1])
+
+
+def test_icon_groups_of_many_chunks(spark, monkeypatch):
+    import hashlib
+
+    pictures = speckled(300, 10, 11, 4).astype(np.uint8)
+    given = [(k * 7919 % 300, hashlib.sha256(p.tobytes()).hexdigest(), "#ffffff", 11, 10, 3, bytearray(p.tobytes())) for k, p in enumerate(pictures)]
+    df = spark.createDataFrame(given, "seq int, hash string, background string, width int, height int, channels int, pixels binary")
+    one = sorted(map(tuple, catalog.assign_groups(df).collect()))
+    monkeypatch.setattr(catalog, "CHUNK", (64, 1 << 21))
+    assert sorted(map(tuple, catalog.assign_groups(df).collect())) == one
+    assert 1 < len({r[1] for r in one}) < len(one)
+
+
 def slow_match(query, known, background):
     """Shift by shift, window by window."""
     best, (h, w), (kh, kw) = None, query.shape[:2], known.shape[:2]

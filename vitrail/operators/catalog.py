@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -107,7 +108,7 @@ def _windows(q: tuple[int, int], k: tuple[int, int]):
 
 def flatten(rgba: np.ndarray, background: np.ndarray) -> np.ndarray:
     """Colours composited on a background; pictures without alpha as they are."""
-    if rgba.shape[2] < 4:
+    if rgba.shape[-1] < 4:
         return rgba.astype(np.float32)
     alpha = rgba[..., 3:].astype(np.float32) / 255
     return rgba[..., :3] * alpha + np.asarray(background, np.float32) * (1 - alpha)
@@ -167,45 +168,124 @@ def _flat(background: str, width: int, height: int, channels: int, pixels: bytes
     return flatten(np.frombuffer(pixels, np.uint8).reshape(height, width, channels), np.array(list(bytes.fromhex(background[1:])), np.float32))
 
 
-def candidate_pairs(once: DataFrame) -> DataFrame:
-    """Pairs (a before b by seq and hash) on one background whose sizes differ by a pixel at most and whose means can match.
+#: Pictures of a chunk: so many at most, and of so many pixels together.
+CHUNK = 2048, 1 << 21
+#: Parts of a hot background while its pictures learn their chunks.
+SALTS = 32
 
-    An equi-join on background, size and a band of the mean, as wide as the means of a matching pair can be apart at that size.
+
+def _dealt(once: DataFrame) -> DataFrame:
+    """Pictures in groups (background, wide, high, cell, q, k) so that two that can match meet in one: one of them as `late`, one not.
+
+    An equi-join on background, size and a band of the mean, as wide as the means of a matching pair can be apart at that size; sizes differ by a
+    pixel at most. A key's pictures are cut into chunks by their digests, and each chunk of late ones meets each of the others, so no background gathers in a task.
     """
     band = lambda w, h: 10 + 765 * (1 / F.greatest(w - 1, F.lit(1)) + 1 / F.greatest(h - 1, F.lit(1)))
-    mean = (F.col("mr") + F.col("mg") + F.col("mb")) / 3
     near = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    own = once.select("seq", "hash", "background", "width", "height", "mr", "mg", "mb", mean.alias("m"))
-    a = own.select("background", *(F.col(c).alias(f"a_{c}") for c in ("seq", "hash", "width", "height", "mr", "mg", "mb", "m")))
-    a = a.withColumn("width", F.explode(F.transform(near, lambda d: F.col("a_width") + d))).withColumn("height", F.explode(F.transform(near, lambda d: F.col("a_height") + d)))
-    a = a.withColumn("cell", F.explode(F.transform(near, lambda d: F.floor(F.col("a_m") / band(F.col("width"), F.col("height"))) + d)))
-    b = own.withColumn("cell", F.floor(F.col("m") / band(F.col("width"), F.col("height"))))
-    met = a.join(b, ["background", "width", "height", "cell"]).where(F.struct("a_seq", "a_hash") < F.struct("seq", "hash"))
-    limit = fingerprint_limit(F.col("a_width"), F.col("a_height"), F.col("width"), F.col("height"))
-    for c in ("mr", "mg", "mb"):
-        met = met.where(F.abs(F.col(c) - F.col(f"a_{c}")) <= limit)
-    return met.select(F.col("a_hash").alias("a"), F.col("hash").alias("b"))
-
-
-def _matched(pairs: DataFrame, once: DataFrame) -> DataFrame:
-    """Pairs that match, with how well and at which shift: a, b, error, steps, dx, dy."""
-    fields = ("width", "height", "channels", "pixels")
-    side = lambda end: once.select(F.col("hash").alias(end), *(F.col(f).alias(f"{end}_{f}") for f in fields))
-    whole = pairs.join(side("a"), "a").join(side("b").join(once.select(F.col("hash").alias("b"), "background"), "b"), "b")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for a, b, bg, *rest in zip(*(c.to_pylist() for c in batch.columns)):
-                known, query = _flat(bg, *rest[:4]), _flat(bg, *rest[4:])
-                if sample_may_match(query, known) and (found := match(query, known, np.array(list(bytes.fromhex(bg[1:])), np.float32))):
-                    out.append((a, b, *found))
-            kinds = (pa.string(), pa.string(), pa.float64(), pa.int32(), pa.float64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 6, kinds)], names=["a", "b", "error", "steps", "dx", "dy"])
-
+    mean = (F.col("mr") + F.col("mg") + F.col("mb")) / 3
+    own = once.withColumn("m", mean).drop("mr", "mg", "mb")
+    cell = F.floor(F.col("m") / band(F.col("wide"), F.col("high")))
+    late = own.withColumn("wide", F.col("width")).withColumn("high", F.col("height")).withColumn("cell", cell)
+    early = own.withColumn("wide", F.explode(F.transform(near, lambda d: F.col("width") + d))).withColumn("high", F.explode(F.transform(near, lambda d: F.col("height") + d)))
+    early = early.withColumn("cell", F.explode(F.transform(near, lambda d: cell + d)))
+    key = ["background", "wide", "high", "cell"]
+    room = F.greatest(F.lit(64), F.least(F.lit(CHUNK[0]), F.floor(F.lit(CHUNK[1]) / F.greatest(F.col("wide") * F.col("high"), F.lit(1)))))
+    chunks = lambda side, name: side.groupBy(key).agg(F.count("*").alias("n")).select(*key, F.ceil(F.col("n") / room).alias(name))
+    parts = chunks(late, "qs").join(chunks(early, "ks"), key).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+    def met(side: DataFrame, is_late: bool) -> DataFrame:
+        q, k = ("qs", "ks") if is_late else ("ks", "qs")
+        one = side.withColumn("salt", F.pmod(F.xxhash64("hash"), F.lit(SALTS)).cast("int")).join(parts, [*key, "salt"])
+        one = one.withColumn("i", F.pmod(F.xxhash64("hash", F.lit(1)), F.col(q))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(k) - 1)))
+        return one.select(*key, *(F.col(c).alias(n) for c, n in zip("ij" if is_late else "ji", "qk")), F.lit(is_late).alias("late"), "seq", "hash", "width", "height", "channels", "pixels")
+
+    return met(late, True).unionByName(met(early, False))
+
+
+def near_pairs(query: np.ndarray, known: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of pictures of one size each, the pairs that `match` can accept: places in `query` and `known`, and a lower bound of the mean error; by query, then bound.
+
+    before: whether a known picture (column) comes before a query (row). At a shift, the means of channels (sums of them in an even grid of at most 8 x 8 blocks, on
+    what lies within both pictures at any shift) differ by no more in total than the whole error: first their squares, as a product of matrices, then their sums.
+    """
+    (n, h, w), (m, kh, kw) = query.shape[:3], known.shape[:3]
+    rows, cols = min(h, kh) - 2, min(w, kw) - 2
+    if rows < 1 or cols < 1:
+        i, j = np.nonzero(before)
+        return i, j, np.zeros(len(i))
+    cuts = [np.linspace(0, size, min(size, 8) + 1).astype(int) for size in (rows, cols)]
+    most = 255 * float(np.diff(cuts[0]).max() * np.diff(cuts[1]).max())
+
+    def sums(grey: np.ndarray, dy: int, dx: int) -> np.ndarray:
+        inner = grey[:, 1 + dy : 1 + dy + rows, 1 + dx : 1 + dx + cols]
+        return np.add.reduceat(np.add.reduceat(inner, cuts[0][:-1], axis=1), cuts[1][:-1], axis=2).reshape(len(grey), -1)
+
+    grey_q, grey_k = query.mean(axis=3), known.mean(axis=3)
+    k = sums(grey_k, 0, 0)
+    centre = k.mean(axis=0)
+    k -= centre
+    kk = (k * k).sum(axis=1)
+    found = []
+    for dy, dx, a, _ in _windows((h, w), (kh, kw)):
+        pixels = (a[0].stop - a[0].start) * (a[1].stop - a[1].start)
+        total = MEAN_ERROR * pixels * 1.001
+        q = sums(grey_q, dy, dx) - centre
+        qq = (q * q).sum(axis=1)
+        limit = min(total, most) * total + 1e-4 * float(qq.max() + kk.max())
+        for at in range(0, n, 256):
+            part = q[at : at + 256]
+            i, j = np.nonzero((qq[at : at + 256, None] + kk - 2 * (part @ k.T) <= limit) & before[at : at + 256])
+            for some in range(0, len(i), 1 << 16):
+                x, y = i[some : some + (1 << 16)], j[some : some + (1 << 16)]
+                apart = np.abs(part[x] - k[y]).sum(axis=1, dtype=float)
+                good = apart <= total + 1e-5 * most * len(centre)
+                found.append((x[good] + at, y[good], apart[good] / pixels))
+    i, j, low = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, int),) * 3
+    by = np.lexsort((low, j, i))
+    i, j, low = i[by], j[by], low[by]
+    first = np.ones(len(i), bool)
+    first[1:] = (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+    i, j, low = i[first], j[first], low[first]
+    by = np.lexsort((low, i))
+    return i[by], j[by], low[by]
+
+
+def _stacks(rows: pa.Table, background: np.ndarray) -> list[tuple[list[tuple], np.ndarray]]:
+    """Flattened pictures of one size and number of channels each, with what orders them: whether there is a seq, seq, hash."""
+    sizes: dict[tuple[int, int, int], list[int]] = {}
+    for k, size in enumerate(zip(*(rows.column(c).to_pylist() for c in ("height", "width", "channels")))):
+        sizes.setdefault(size, []).append(k)
+    names = [(s is not None, s, h) for s, h in zip(rows.column("seq").to_pylist(), rows.column("hash").to_pylist())]
+    raw = rows.column("pixels").to_pylist()
+    return [([names[k] for k in ks], flatten(np.frombuffer(b"".join(raw[k] for k in ks), np.uint8).reshape(len(ks), *size), background)) for size, ks in sizes.items()]
+
+
+def _best_of(rows: pa.Table) -> pa.Table:
+    """The best match of each late picture of a group among the others that come before it: hash, error, steps, up, dx, dy."""
+    background = np.array(list(bytes.fromhex(rows.column("background")[0].as_py()[1:])), np.float32)
+    late = rows.column("late").combine_chunks()
+    best: dict[str, tuple] = {}
+    known = _stacks(rows.filter(pc.invert(late)), background)
+    for names, pictures in _stacks(rows.filter(late), background):
+        for others, shown in known:
+            place = {name: k for k, name in enumerate(sorted({*names, *others}))}
+            before = np.array([place[o] for o in others]) < np.array([place[name] for name in names])[:, None]
+            for i, j, low in zip(*(c.tolist() for c in near_pairs(pictures, shown, before))):
+                to = names[i][2]
+                if to in best and low > best[to][0] + 1e-3:
+                    continue
+                if sample_may_match(pictures[i], shown[j]) and (found := match(pictures[i], shown[j], background)):
+                    one = (*found[:2], others[j][2], *found[2:])
+                    best[to] = min(best.get(to, one), one)
+    kinds = (pa.string(), pa.float64(), pa.int32(), pa.string(), pa.float64(), pa.float64())
+    made = [(to, *one) for to, one in best.items()]
+    return pa.table([pa.array(c, k) for c, k in zip(list(zip(*made)) or [()] * 6, kinds)], names=["hash", "error", "steps", "up", "dx", "dy"])
+
+
+def _matched(once: DataFrame) -> DataFrame:
+    """The best match of each picture in each group that it meets others in: hash, error, steps, up, dx, dy."""
     ship(once.sparkSession)
-    columns = ["a", "b", "background", *(f"{end}_{f}" for end in "ab" for f in fields)]
-    return whole.select(*columns).mapInArrow(run, "a string, b string, error double, steps int, dx double, dy double")
+    return _dealt(once).groupBy("background", "wide", "high", "cell", "q", "k").applyInArrow(_best_of, "hash string, error double, steps int, up string, dx double, dy double")
 
 
 def assign_groups(icons: DataFrame) -> DataFrame:
@@ -219,8 +299,8 @@ def assign_groups(icons: DataFrame) -> DataFrame:
     icons: seq, hash, background ('#rrggbb'), width, height, channels, pixels (bytes in raster order). Copies are removed first.
     """
     once = materialize(_measured(icons), "icons")
-    best = F.min(F.struct("error", "steps", F.col("a").alias("up"), "dx", "dy")).alias("m")
-    links = materialize(_matched(candidate_pairs(once), once).groupBy(F.col("b").alias("hash")).agg(best).select("hash", "m.up", "m.dx", "m.dy"), "icon-links")
+    best = F.min(F.struct("error", "steps", "up", "dx", "dy")).alias("m")
+    links = materialize(_matched(once).groupBy("hash").agg(best).select("hash", "m.up", "m.dx", "m.dy"), "icon-links")
     while True:
         higher = links.select(F.col("hash").alias("up"), F.col("up").alias("top"), F.col("dx").alias("ux"), F.col("dy").alias("uy"))
         further = links.join(higher, "up", "left")
