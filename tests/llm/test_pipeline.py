@@ -11,7 +11,8 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from test_operators import WORD, WORDS, bare, five_words, slow_base
-from vitrail.llm import gam, rules
+from vitrail import session
+from vitrail.llm import gam, overlap, packing, rules
 from vitrail.llm.common import materialize
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, score int, first string, node int, sha string"
@@ -142,3 +143,37 @@ def test_stages_on_an_empty_table(spark, sf_dir):
         made = stage(spark, none, sf_dir)
         assert made.count() == 0, name
         assert name == "pack" or made.columns == none.columns, name
+
+
+def test_a_stage_writes_few_files(spark, sf_dir, tmp_path, monkeypatch):
+    """Narrow tables of near_dedup and exact_dedup get as many files as their rows ask for, whatever the shuffle partitions: each file
+    starts processes on a local disk, and a starting one counts an executor's memory twice."""
+    docs, stages = spark.read.parquet(f"{sf_dir}/documents.parquet"), dict(corpus_pipeline.STAGES)
+    want = told(stages["near_dedup"](spark, docs, sf_dir))
+    monkeypatch.setattr(session, "shared_root", lambda spark: str(tmp_path))
+    held = {"spark.sql.shuffle.partitions": "23", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        assert told(stages["near_dedup"](spark, docs, sf_dir)) == want
+        stages["exact_dedup"](spark, docs, sf_dir)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    files = Counter(p.parent.name for p in tmp_path.rglob("part-*.parquet"))
+    for table in [*(f"overlap-{x}" for x in ("nodes", "blocks", "met", "centres", "pairs", "links", "stars", "components", "groups")), "dedup-patterns"]:
+        assert [n for name, n in files.items() if name.startswith(f"{table}-")] == [1], table
+
+
+def test_a_worker_forgets_pieces_that_it_does_not_need(monkeypatch):
+    own, made = packing.word_codec(WORDS), []
+    for module in (gam, overlap):
+        monkeypatch.setattr(module, "map_texts", lambda df, text, make, fields: made.append(make))
+    gam.with_features(None), gam.with_scores(None, gam.Model()), overlap.with_signatures(None, "text", "n", "f", "b", "s")
+    for make in made:
+        ids = own.encode("harbour of stone")
+        assert own.met
+        make()
+        assert not own.met and own.encode("harbour of stone") == ids
+    assert len(made) == 3

@@ -19,6 +19,7 @@ from __future__ import annotations
 import base64
 import json
 import re
+import weakref
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -86,6 +87,16 @@ def from_ranks(path: str, pattern: str) -> Tokenizer:
     return tokenizer
 
 
+#: The vocabularies in this worker, each with its table of pieces (met).
+CODECS: weakref.WeakSet = weakref.WeakSet()
+
+
+def forget_pieces() -> None:
+    """Empty the worker's tables of pieces: for a worker that goes on to work without them, as it may live as long as the session."""
+    for held in [*CODECS]:
+        held.met.clear()
+
+
 @lru_cache(maxsize=4)
 def codec(path: str, pattern: str | None) -> Codec:
     return Codec(path, pattern)
@@ -112,6 +123,7 @@ class Codec:
         self.lengths = np.array([len(x) for x in self.table], np.int32)
         self.model = self.tokenizer.model
         self.met: dict[str, bytes] = {}
+        CODECS.add(self)
 
     def _cuts_at_blanks(self, pattern: str | None) -> bool:
         """Whether PIECES are known to be independent for this vocabulary."""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from vitrail.session import materialize, ship
 
-__all__ = ["attach_groups", "blank_null", "broadcast_in_slices", "fresh", "load", "materialize", "short_batches"]
+__all__ = ["attach_groups", "blank_null", "broadcast_in_slices", "files_for", "fresh", "load", "materialize", "short_batches"]
 
 #: Rows and bytes of one Arrow batch for operators that send whole texts to Python; a single longer text is a batch of its own.
 ARROW_ROWS = 1000
@@ -18,6 +18,9 @@ ARROW_BYTES = 32 << 20
 #: A group holding at least this share of all rows is hot; there can be no more than its inverse of them.
 HOT_SHARE = 1_000
 
+#: Narrow rows from which a table is made, for each file that it is written to.
+FILE_ROWS = 200_000
+
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     ship(spark)
@@ -59,6 +62,11 @@ def _number(size: str) -> int:
     return int(digits) << " kmgt".index(unit or " ") * 10
 
 
+def files_for(rows: int) -> int:
+    """Files for a narrow table that is made from so many narrow rows, however many partitions a shuffle has."""
+    return max(1, -(-rows // FILE_ROWS))
+
+
 def broadcast_in_slices(rows: DataFrame, side: DataFrame, key: str, most: int, how: str = "left") -> DataFrame:
     """Join `rows` (left, inner or left_semi, on `key`) with a side of any size without ever moving `rows`.
 

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitrail.llm.common import attach_groups, blank_null, broadcast_in_slices, fresh, materialize
+from vitrail.llm.common import attach_groups, blank_null, broadcast_in_slices, files_for, fresh, materialize
 
 BLANKS = r"[\x20\x09-\x0D]+"
 #: Patterns of the first pass for each row, at least: so many times fewer rows share one with another text.
@@ -117,7 +117,7 @@ def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sli
     keyed = docs.withColumn(sha, F.sha2(normalised(text), 256)).withColumn(points, F.char_length(blank_null(text)))
     keys = materialize(keyed.select(F.col(sha).alias("sha")), "dedup-keys")
     rows = keys.count()
-    patterns = materialize(repeated(keys, "sha", rows), "dedup-patterns")
+    patterns = materialize(repeated(keys, "sha", rows), "dedup-patterns", files=files_for(rows))
     probed = probe(keyed, patterns, sha, rows, possible, slice_words)
     whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
     best = F.max_by(whole, F.struct(points, -F.col(doc_id).cast("bigint"), F.xxhash64(F.to_json(whole))))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitrail.llm.bpe import map_texts
+from vitrail.llm.bpe import forget_pieces, map_texts
 from vitrail.llm.common import fresh
 
 #: Labelled rows that the model is fitted on, at most.
@@ -202,6 +202,7 @@ def with_features(df: DataFrame, text: str = "text", out: str = "features") -> D
     """Add the features of each text as array<double>."""
 
     def make():
+        forget_pieces()
         return lambda texts: {out: pa.array([features(t) for t in texts], pa.list_(pa.float64()))}
 
     return map_texts(df, text, make, {out: "array<double>"})
@@ -211,6 +212,7 @@ def with_scores(df: DataFrame, model: Model, text: str = "text", out: str = "sco
     """Add the model's score of each whole text, 0 to 1."""
 
     def make():
+        forget_pieces()
         return lambda texts: {out: pa.array(model.score(np.array([features(t) for t in texts]).reshape(len(texts), len(FEATURES))))}
 
     return map_texts(df, text, make, {out: "double"})

@@ -14,7 +14,8 @@ No block is capped, and no table of all its pairs is made. First each member is
 batch at once, which takes in clusters of copies in linear work. Then only blocks that still hold several components are looked at (large
 ones in chunks of which each pair meets in a task of its own): rows with a near partner in another component get their sets, and a
 task confirms pairs in place, each in the first block that both are in, and gives out the links that join what was apart. So rows
-grow with the texts, whatever the size of a group, and the components are those of all pairs.
+grow with the texts, whatever the size of a group, and the components are those of all pairs. Tables without texts are written to as many
+files as their rows ask for, not one for each shuffle partition.
 
 Defined results: those above; repeated rows are copies, the smallest doc_id of a component stays (a null one loses, ties go by the row's
 JSON), extra columns pass through under their own names, and an empty table gives no rows.
@@ -30,8 +31,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrail.llm.bpe import map_texts
-from vitrail.llm.common import attach_groups, blank_null, broadcast_in_slices, fresh, materialize, short_batches
+from vitrail.llm.bpe import forget_pieces, map_texts
+from vitrail.llm.common import attach_groups, blank_null, broadcast_in_slices, files_for, fresh, materialize, short_batches
 from vitrail.llm.simhash import BROADCAST_PRINTS, BYTE_BITS, LOWER, SEED, connect, in_chunks, lanes, one_of_each, pairs_in_runs, planes_of, set_lanes, whole_runs, within
 
 SHINGLE, LEAST = 5, 0.8
@@ -95,6 +96,8 @@ def with_signatures(docs: DataFrame, text: str, node: str, print_: str, bands: s
     """Add each text's node, fingerprint (binary), band keys (array<bigint>) and the size of its set."""
 
     def make():
+        forget_pieces()
+
         def work(texts: list[str]) -> dict:
             nodes, prints, keys, sizes = [], [], [np.zeros(0, np.int64)], []
             for t in texts:
@@ -140,9 +143,9 @@ def _unpacked(column: pa.Array) -> list[np.ndarray]:
     return [np.frombuffer(x, np.uint64) for x in column.to_pylist()]
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, files: int | None = None) -> DataFrame:
     """Those of the pairs (a, b) whose sets are near copies."""
-    pairs = materialize(pairs.distinct(), "overlap-pairs")
+    pairs = materialize(pairs.distinct(), "overlap-pairs", files=files)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,7 +153,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(good) for k in (0, 1)], names=["a", "b"])
 
     rows = _with_set(_with_set(pairs, "a", "b", sets), "b", "a", sets).select("a", "b", "a_set", "b_set")
-    return materialize(rows.mapInArrow(check, "a bigint, b bigint"), "overlap-links")
+    return materialize(rows.mapInArrow(check, "a bigint, b bigint"), "overlap-links", files=files)
 
 
 def _pairs(batch: list[np.ndarray]) -> pa.RecordBatch:
@@ -215,28 +218,29 @@ def components_of(single: DataFrame, docs: DataFrame, run: int = RUN) -> DataFra
     # keys alone are grouped; sizes and fingerprints join what shares a block
     keyed = materialize(single.select("node", F.explode("bands").alias("key")), "overlap-keys")
     total = keyed.count()
-    blocks = materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "overlap-blocks")
-    met = materialize(attach_groups(keyed, blocks, "key", "n", total).join(single.select("node", "size", "fp"), "node"), "overlap-met")
-    centres = materialize(met.groupBy("key", "n").agg(F.min_by(F.struct("node", "size", "fp"), "node").alias("c")), "overlap-centres")
+    files = files_for(total)
+    blocks = materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "overlap-blocks", files=files)
+    met = materialize(attach_groups(keyed, blocks, "key", "n", total).join(single.select("node", "size", "fp"), "node"), "overlap-met", files=files)
+    centres = materialize(met.groupBy("key", "n").agg(F.min_by(F.struct("node", "size", "fp"), "node").alias("c")), "overlap-centres", files=files)
     wanted = materialize(single.select("node", "row", "bands").join(met.select("node").distinct(), "node"), "overlap-wanted")
     sets = materialize(sets_of(docs, wanted), "overlap-sets")
     stars = attach_groups(met.drop("n"), centres, "key", "n", total).select("node", "size", "fp", F.col("c.node").alias("centre"), F.col("c.size").alias("around"), F.col("c.fp").alias("middle"))
-    joined = materialize(connect(confirmed(stars.mapInArrow(_near_centre, "a bigint, b bigint"), sets)), "overlap-stars")
+    joined = materialize(connect(confirmed(stars.mapInArrow(_near_centre, "a bigint, b bigint"), sets, files), files), "overlap-stars", files=files)
     # what is left: pairs of a block whose ends are not connected yet
-    rooted = materialize(met.drop("n").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node")), "overlap-rooted")
+    rooted = materialize(met.drop("n").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node")), "overlap-rooted", files=files)
     several = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"), F.sum("size").alias("weight")).where("low <> high")
     # a chunk holds `run` rows and `run` thousand shingles at most, about
-    mixed = materialize(several.select("key", F.greatest("n", F.ceil(F.col("weight") / 1000)).alias("n")), "overlap-mixed")
+    mixed = materialize(several.select("key", F.greatest("n", F.ceil(F.col("weight") / 1000)).alias("n")), "overlap-mixed", files=files)
     if mixed.isEmpty():
         return joined
     words = [F.conv(F.hex(F.substring("fp", 8 * k + 1, 8)), 16, -10).cast("bigint").alias(f"w{k}") for k in range(WORDS)]
     left = attach_groups(rooted, mixed, "key", "n", rooted.count()).withColumn("block", F.col("key"))
     in_order = lambda rows: rows.repartition("key").sortWithinPartitions("key", "node")
     rows = in_chunks(left, "key", "node", "n", run).select("key", "block", "node", "size", "root", *words)
-    near = materialize(in_order(rows).select(*MEMBER).mapInArrow(_with_partner, ", ".join(f"{c} bigint" for c in MEMBER)), "overlap-near")
+    near = materialize(in_order(rows).select(*MEMBER).mapInArrow(_with_partner, ", ".join(f"{c} bigint" for c in MEMBER)), "overlap-near", files=files)
     short_batches(near.sparkSession)
-    more = materialize(in_order(near.join(sets, "node")).select(*MEMBER, "bands", "set").mapInArrow(_joining, "a bigint, b bigint"), "overlap-joining")
-    return connect(joined.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)) if not more.isEmpty() else joined
+    more = materialize(in_order(near.join(sets, "node")).select(*MEMBER, "bands", "set").mapInArrow(_joining, "a bigint, b bigint"), "overlap-joining", files=files)
+    return connect(joined.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), files) if not more.isEmpty() else joined
 
 
 def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", run: int = RUN, most_prints: int = BROADCAST_PRINTS) -> DataFrame:
@@ -247,10 +251,11 @@ def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     node, fp, bands, size, first, row = fresh(docs, "node", "fp", "bands", "size", "first", "row")
     keyed = materialize(with_signatures(docs, text, node, fp, bands, size).withColumn(row, F.monotonically_increasing_id()), "overlap-documents")
     named = keyed.select(F.col(node).alias("node"), F.col(fp).alias("fp"), F.col(bands).alias("bands"), F.col(size).alias("size"), F.col(row).alias("row"))
-    single = materialize(named.groupBy("node").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("size").alias("size"), F.min("row").alias("row"), F.count("*").alias("docs")), "overlap-nodes")
+    files = files_for(BANDS * keyed.count())
+    single = materialize(named.groupBy("node").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("size").alias("size"), F.min("row").alias("row"), F.count("*").alias("docs")), "overlap-nodes", files=files)
     texts = keyed.select(F.col(row).alias("row"), blank_null(text).alias("text"))
-    linked = materialize(components_of(single, texts, run), "overlap-components")
+    linked = materialize(components_of(single, texts, run), "overlap-components", files=files)
     # nodes with more than one document, or with a link
     many = single.where("docs > 1").select("node").join(linked, "node", "left_anti").select("node", F.col("node").alias("root"))
-    groups = materialize(linked.unionByName(many).select(F.col("node").alias(node), F.struct("root").alias(first)), "overlap-groups")
+    groups = materialize(linked.unionByName(many).select(F.col("node").alias(node), F.struct("root").alias(first)), "overlap-groups", files=files)
     return one_of_each(broadcast_in_slices(keyed.drop(fp, bands, size, row), groups, node, most_prints), docs.columns, first, doc_id)

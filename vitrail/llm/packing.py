@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from tokenizers import Tokenizer
 
-from vitrail.llm.bpe import map_texts, shown
+from vitrail.llm.bpe import CODECS, map_texts, shown
 from vitrail.llm.common import materialize
 
 #: Coarse lengths of a full sequence, from which patterns are made.
@@ -65,6 +65,7 @@ class WordCodec:
         self.plain = any(r"[\p{L}]+" in x for x in pieces) and "Lowercase" in json.dumps(told["normalizer"])
         self.model = self.tokenizer.model
         self.met: dict[bytes, bytes] = {}
+        CODECS.add(self)
 
     def _chunk(self, raw: bytes) -> bytes:
         chunk = raw.decode()

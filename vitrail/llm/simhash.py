@@ -286,12 +286,12 @@ def _as_batch(pair: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in pair], names=["a", "b"])
 
 
-def connect(pairs: DataFrame) -> DataFrame:
+def connect(pairs: DataFrame, files: int | None = None) -> DataFrame:
     """Components of links (a, b): one row (node, root) per linked node, root the smallest node of its component.
 
     Large-star and small-star contraction in turn: each round joins nodes with the smallest neighbour, which partial sums
     find before any shuffle, and a hub's rows are split by the skew join. Rounds go on until a round changes nothing; a
-    round's tables are removed when the next one is written.
+    round's tables are removed when the next one is written. files: how many files a round writes (else one for each partition).
     """
     spark = pairs.sparkSession
     now = pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
@@ -304,7 +304,7 @@ def connect(pairs: DataFrame) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
         path = shared_path(spark, "star")
-        now = materialize(small.where("a <> b").distinct(), "star", path)
+        now = materialize(small.where("a <> b").distinct(), "star", path, files)
         if last:
             remove(spark, last)
         before, last, state = state, path, tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
